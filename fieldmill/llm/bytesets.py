@@ -11,6 +11,8 @@ PIECE = 1 << 20
 
 SEPARATES = np.zeros(256, bool)
 SEPARATES[[0x20, *range(0x09, 0x0E)]] = True
+#: Also marks: words are then runs of letters and digits of any alphabet.
+SEPARATES_MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)[_LOWER]
@@ -60,12 +62,12 @@ class Powers:
         return cls.up, cls.down
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separates: np.ndarray = SEPARATES) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each lower-cased word, index of the first word of each text and the end)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~SEPARATES[data]
+    inside = ~separates[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(inside & (np.concatenate([[True], ~inside[:-1]]) | edge[:-1]))
