@@ -91,9 +91,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> Iterat
             s = np.sort(shingles[a : b - size + 1])
             yield s[np.concatenate([[True], s[1:] != s[:-1]])]
         elif b > a:
-            short = np.uint64(b - a)
-            for w in words[a:b]:
-                short = mixed(np.array([short * np.uint64(0x2545F4914F6CDD1D) + w], np.uint64))[0]
-            yield np.array([short], np.uint64)
+            mix = words[a:b] * _PLACE[: b - a] if b - a <= len(_PLACE) else words[a:b]
+            yield mixed(np.array([mix.sum() + np.uint64(b - a)], np.uint64))
         else:
             yield np.zeros(0, np.uint64)
