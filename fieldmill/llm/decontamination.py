@@ -154,23 +154,29 @@ class ItemIndex:
         return out[0], out[1]
 
 
+def item_indexes(items: DataFrame, items_per_index: int) -> Iterator[ItemIndex]:
+    """Indexes of slices of the items, each of a bounded number, whatever the number of items."""
+    item_rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    slices = -(-item_rows.count() // items_per_index)
+    for part in range(slices):
+        own = item_rows.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == part)
+        rows = [(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect() if len(_words(r["text"]))]
+        if rows:
+            yield ItemIndex.build(rows)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.6, question: float = 0.6, answer: float = 0.5, items_per_index: int = 20_000) -> DataFrame:
     """(doc_id, item_id, score, question_share, answer_share) of every test item that a document holds.
 
-    One row per document and item, with the best passage's figures. Items are indexed in slices of at most
+    One row per document and item, with the best passage's figures. Items are indexed in slices of about
     items_per_index, so what is sent to executors stays bounded; each slice is one pass over the documents.
     Items without a word and null texts match nothing. Items that repeat a text are each reported.
     Empty tables give no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    item_rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
-    slices = -(-item_rows.count() // items_per_index)
     hits = spark.createDataFrame([], HIT_TYPE)
-    for part in range(slices):
-        own = item_rows.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == part)
-        rows = [(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect() if len(_words(r["text"]))]
-        if rows:
-            hits = hits.union(texts(docs).mapInArrow(_finder(spark.sparkContext.broadcast(ItemIndex.build(rows)), least, question, answer), HIT_TYPE))
+    for index in item_indexes(items, items_per_index):
+        hits = hits.union(texts(docs).mapInArrow(_finder(spark.sparkContext.broadcast(index), least, question, answer), HIT_TYPE))
     best = F.max(F.struct("score", "question_share", "answer_share")).alias("x")
     return hits.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
 
@@ -193,7 +199,21 @@ def _finder(shared, least: float, question: float, answer: float):
     return run
 
 
-def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, least: float = 0.6, question: float = 0.6, answer: float = 0.5, items_per_index: int = 20_000) -> DataFrame:
     """The documents that hold no test item, with all their columns."""
-    bad = find_leaks(docs, items).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    def clean(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for row, _, data, offsets in text_pieces(batch.column("text")):
+                    words, first = word_hashes(data, offsets, SEPARATES_MARKS)
+                    for i, item, _, passage in shared.value.retrieve(words, first, least):
+                        q, a = shared.value.shares(item, passage)
+                        keep[row + i] &= q < question or a < answer
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for index in item_indexes(items, items_per_index):
+        docs = docs.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+    return docs

@@ -294,3 +294,10 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, per_bucket: in
 def _linked(answers: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     with_sizes = answers.join(sized.select(F.col("id").alias("a"), F.col("size").alias("na")), "a").join(sized.select(F.col("id").alias("b"), F.col("size").alias("nb")), "b")
     return staged(with_sizes.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"), "links")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, most_sent: int = 4_000_000) -> DataFrame:
+    """The documents whose id is the least of their group, with all their columns."""
+    groups = components(docs, size, percent)
+    gone = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= most_sent else gone, F.col("doc_id") == F.col("_gone"), "left_anti")

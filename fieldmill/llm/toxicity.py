@@ -255,3 +255,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 1000, most_cl
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     scored = score_documents(docs, model)
     return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, most_toxic: int = 1000, most_clean: int = 1000, threshold: float = 0.7) -> DataFrame:
+    """The documents that score below the threshold, with all their columns; trained as in `toxicity`."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(*training_documents(docs, labels, most_toxic, most_clean)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [shared.value.score(data, offsets) for _, _, data, offsets in text_pieces(batch.column("text"))]
+            yield batch.filter(pa.array(np.concatenate(scores) < threshold if scores else [], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
