@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import inspect_queries
+
+QUERIES: dict = {**inspect_queries.QUERIES}
+ORACLES: dict = {**inspect_queries.ORACLES}
