@@ -4,8 +4,8 @@ Sets alike are joined once, through the smallest id of their class. Each set is
 order of shingles, rare first as a fixed-size sketch of counts says, and its first tokens go to inverted
 lists: two sets that link share a known least number of those (prefix filter with counts).
 
-Each list has a leader, the set of least hashed id. A set is first compared with the leader it meets in
-most lists; groups found so are settled. What is left are pairs of unlike groups within one list.
+Each list has a leader, the set of which the largest part is found in lists: where sets derive from one, it is
+that one. A set is first compared with the leader it meets in most lists; groups found so are settled. What is left are pairs of unlike groups within one list.
 They are found list by list, in blocks by size that skip where size or position rules a link out,
 and skipped where the answer of the leader tells the answer of its members: the overlap of x with y
 is at most that of the leader with y plus what x has beyond the leader. Every other pair is verified.
@@ -47,13 +47,12 @@ def _fingerprints(size: int):
         for batch in batches:
             rows = [[], [], []]
             for _, _, data, offsets in text_pieces(batch.column(1)):
-                for s in shingle_sets(data, offsets, size):
-                    cells += np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=CELLS) if len(s) > CELLS // 8 else 0
-                    if len(s) <= CELLS // 8:
-                        np.add.at(cells, (s >> np.uint64(44)).astype(np.int64), 1)
+                own = list(shingle_sets(data, offsets, size))
+                cells += np.bincount((np.concatenate(own) >> np.uint64(44)).astype(np.int64), minlength=CELLS)
+                for s in own:
                     rows[0].append(len(s))
                     rows[1].append(int(np.bitwise_xor.reduce(s)) if len(s) else 0)
-                    rows[2].append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum()) if len(s) else 0)
+                    rows[2].append(int((s * (s | np.uint64(1))).sum()) if len(s) else 0)
             n = len(rows[0])
             sums = [pa.array(np.array(r, np.uint64).view(np.int64)) for r in rows[1:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), *sums, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], fields)
@@ -142,19 +141,16 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return e
 
 
-LIST_TYPE = "token long, doc long, n int, at int, leader long"
+LIST_TYPE = "token long, doc long, n int, at int"
 
 
 def _lists(frame: pd.DataFrame) -> pd.DataFrame:
-    """Inverted lists of two sets or more, each entry with its list's leader."""
+    """Inverted lists of two sets or more."""
     e = np.concatenate([_unpacked(b) for b in frame["entries"]])
     order = np.argsort(e["token"], kind="stable")
     same = e["token"][order][1:] == e["token"][order][:-1]
     e = e[order[np.append(False, same) | np.append(same, False)]]
-    e = e[np.lexsort((mixed(e["doc"].view(np.uint64)), e["token"]))] if len(e) else e
-    starts = np.flatnonzero(np.append(True, e["token"][1:] != e["token"][:-1])) if len(e) else np.zeros(0, int)
-    leader = np.repeat(e["doc"][starts], np.diff(np.append(starts, len(e))))
-    return pd.DataFrame({"token": e["token"].view(np.int64), "doc": e["doc"], "n": e["n"], "at": e["at"], "leader": leader})
+    return pd.DataFrame({"token": e["token"].view(np.int64), "doc": e["doc"], "n": e["n"], "at": e["at"]})
 
 
 PAIR_TYPE = "a long, b long, shared long, na int, nb int"
@@ -195,7 +191,7 @@ def _cross_pairs(percent: int, block: int = 256):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, salts: int = 64, most_sent: int = 4_000_000) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, size: int, salts: int = 64, most_sent: int = 4_000_000, per_part: int = 2000) -> DataFrame:
     """(a, b, overlap) of pairs (a, b), exactly: sets travel once to each group of pairs of one `a`.
 
     `pairs` must be staged. The members of an `a` are spread over `salts` groups, so a set that leads a third
@@ -222,23 +218,20 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, salts: int = 64, most
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["doc", "tokens"])
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        heads = frame["leads"].to_numpy()
+        leads, heads = frame["lead"].to_numpy(), frame["leads"].to_numpy()
+        sets = [np.frombuffer(t, "<u8") for t in frame["tokens"]]
+        base = {leads[i]: sets[i] for i in np.flatnonzero(heads)}
         out = []
-        for lead, part in frame.groupby("lead"):
-            own = part[part["leads"]]["tokens"]
-            if len(own):
-                base = np.frombuffer(own.iloc[0], "<u8")
-                for doc, tokens in zip(part["doc"], part["tokens"]):
-                    if doc != lead:
-                        s = np.frombuffer(tokens, "<u8")
-                        at = np.minimum(np.searchsorted(base, s), len(base) - 1)
-                        out.append((lead, doc, int((base[at] == s).sum())))
-        del heads
+        for i in np.flatnonzero(~heads):
+            if (lead := base.get(leads[i])) is not None:
+                at = np.minimum(np.searchsorted(lead, sets[i]), len(lead) - 1)
+                out.append((leads[i], frame["doc"].iat[i], int((lead[at] == sets[i]).sum())))
         return pd.DataFrame(out, columns=["a", "b", "overlap"]).astype("int64")
 
     held = texts(docs).where("doc_id is not null").mapInArrow(sets, "doc long, tokens binary").dropDuplicates(["doc"])
-    sent = held.join(wanted, "doc")
-    return sent.groupBy("lead", "salt").applyInPandas(compare, "a long, b long, overlap long")
+    parts = max(8, -(-wanted.count() // per_part))
+    sent = held.join(wanted, "doc").select("doc", "tokens", "lead", "leads", F.pmod(F.xxhash64("lead", "salt"), F.lit(parts)).alias("part"))
+    return sent.groupBy("part").applyInPandas(compare, "a long, b long, overlap long")
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80, per_bucket: int = 1_000_000) -> DataFrame:
@@ -265,8 +258,11 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, per_bucket: in
     lists = staged(entries.groupBy("bucket").applyInPandas(_lists, LIST_TYPE), "lists")
 
     # each set against the leader it meets oftenest
-    met = lists.where("doc <> leader").groupBy("doc", "leader").agg(F.count("*").alias("times"), F.first("n").alias("n"))
-    best = met.groupBy("doc").agg(F.max(F.struct("times", F.col("leader").alias("lead"), "n")).alias("x")).where(F.col("x.times") * 25 >= F.col("x.n"))
+    listed = lists.groupBy("doc").agg((F.count("*") / F.first(per_set)).alias("part"))
+    rank = F.struct("part", F.xxhash64("doc").alias("draw"), F.col("doc").alias("leader"))
+    leads = lists.join(listed, "doc").groupBy("token").agg(F.max(rank).alias("top")).select("token", "top.leader")
+    met = lists.join(leads, "token").where("doc <> leader").groupBy("doc", "leader").agg(F.count("*").alias("times"), F.first("n").alias("n"))
+    best = met.groupBy("doc").agg(F.max(F.struct("times", F.col("leader").alias("lead"), "n")).alias("x")).where(F.col("x.times") * 16 >= F.col("x.n"))
     tried = staged(best.select(F.col("x.lead").alias("a"), F.col("doc").alias("b")), "tried")
     answers = staged(verified(docs, tried, size), "answers")
     sized = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("size"))
