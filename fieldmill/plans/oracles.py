@@ -100,5 +100,5 @@ pixels AS (SELECT v AS view_id, r AS row, c AS col FROM range(12) a(v), range(16
 images AS (SELECT view_id, row, col, coalesce(avg(target), 0) AS v FROM pixels LEFT JOIN rays USING (view_id, row, col) GROUP BY ALL)"""
 
 GRIDS = f"""
-grid0 AS (SELECT vec_id AS node, embedding AS e, unnest(range(64)) AS at FROM embeddings),
-grids AS (SELECT node, at, {MU.format(x='e[at+1]::DOUBLE')} AS v FROM grid0)"""
+grid0 AS (SELECT vec_id AS node, embedding AS e, unnest(range(64)) AS spot FROM embeddings),
+grids AS (SELECT node, spot, {MU.format(x='e[spot+1]::DOUBLE')} AS v FROM grid0)"""
