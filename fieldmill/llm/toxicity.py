@@ -191,9 +191,10 @@ def fit(documents: list[tuple[str, int]], share: float | None = None, landmarks:
     whiten = whiten.astype(np.float32)
     coordinates = lambda k: np.hstack([k @ whiten, np.ones((len(k), 1), np.float32)])
     of_doc = np.concatenate([[i] * len(d) for i, d in enumerate(toxic)]).astype(int)
-    near = kernel([s for d in toxic for s in d])
-    pos, neg = coordinates(near), coordinates(kernel([s for d in clean for s in d]))
-    score = near[:, :sure].max(1) if sure else np.ones(len(near))
+    pos = kernel([s for d in toxic for s in d])
+    score = pos[:, :sure].max(1) if sure else np.ones(len(pos))
+    pos = coordinates(pos)
+    neg = coordinates(kernel([s for d in clean for s in d]))
     for _ in range(rounds):
         best = np.full(len(toxic), -np.inf)
         np.maximum.at(best, of_doc, score)
@@ -222,14 +223,15 @@ def _calibrated(model: ToxicModel, documents: list[tuple[str, int]], share: floa
     return ToxicModel(model.weights, float(max(beta[0], 1e-3)), float(beta[1]))
 
 
-def training_documents(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int) -> tuple[list[tuple[str, int]], float]:
+def training_documents(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, most_bytes: int = 20_000) -> tuple[list[tuple[str, int]], float]:
     """Labelled documents outside the held-out fold, whole, at most so many of either label (those of lowest
-    hashed id), and the share of label 1 among all of that kind."""
+    hashed id, less any over most_bytes long), and the share of label 1 among all of that kind. The sample takes
+    most_bytes * (most_toxic + most_clean) at most, whatever the size of the tables."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where((fold != 1) & F.col("toxic").isin(0, 1))
     share = marks.agg(F.avg("toxic")).first()[0]
     picked = [marks.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v, most in ((1, most_toxic), (0, most_clean))]
-    rows = texts(docs).join(F.broadcast(picked[0].union(picked[1])), "doc_id").orderBy("toxic", "doc_id", "text").select("text", "toxic")
+    rows = texts(docs).join(F.broadcast(picked[0].union(picked[1])), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).orderBy("toxic", "doc_id", "text").select("text", "toxic")
     return [(r["text"] or "", r["toxic"]) for r in rows.collect()], share or 0.0
 
 
@@ -245,7 +247,7 @@ def score_documents(docs: DataFrame, model: ToxicModel) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 1000, most_clean: int = 1000, threshold: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 800, most_clean: int = 800, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from `threshold` on) for every document.
 
     Learns from at most most_toxic and most_clean documents of the labels outside the held-out fold. Without labelled
@@ -257,7 +259,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 1000, most_cl
     return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, most_toxic: int = 1000, most_clean: int = 1000, threshold: float = 0.7) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, most_toxic: int = 800, most_clean: int = 800, threshold: float = 0.7) -> DataFrame:
     """The documents that score below the threshold, with all their columns; trained as in `toxicity`."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(*training_documents(docs, labels, most_toxic, most_clean)))
 
