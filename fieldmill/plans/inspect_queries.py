@@ -21,8 +21,8 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
     return ray_ops.ray_cell_contributions(fx.rays(spark, sf), fx.leaves(spark, sf), L, N, V)
 
 
-def predicted(spark: SparkSession, sf: str) -> DataFrame:
-    return ray_ops.predictions(fx.rays(spark, sf), facts(spark, sf))
+def predicted(spark: SparkSession, sf: str, made: DataFrame | None = None) -> DataFrame:
+    return ray_ops.predictions(fx.rays(spark, sf), facts(spark, sf) if made is None else made)
 
 
 def leaf_level_stats(spark, sf):

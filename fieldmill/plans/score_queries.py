@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lookup, ordered, rays as ray_ops, scores, tree
+from ..operators import lookup, ordered, scores, tree
+from ..storage import snapshot
 from . import fixtures as fx
 from . import oracles as o
 from .inspect_queries import facts, predicted, r6
@@ -13,8 +14,13 @@ L, N, V, KEY = fx.LEVELS, fx.SIZE, fx.VIEWS, lookup.KEY
 CHUNK = 64
 
 
-def weighted(spark, sf, mode="inverse", **more):
-    return scores.with_weights(scores.chunked(predicted(spark, sf), CHUNK), ["view_id", "chunk_id"], mode, **more)
+def weighted(spark, sf, mode="inverse", made=None, **more):
+    return scores.with_weights(scores.chunked(predicted(spark, sf, made), CHUNK), ["view_id", "chunk_id"], mode, **more)
+
+
+def staged_facts(spark, sf):
+    """The fact table written once, for queries that read it more than once."""
+    return snapshot(facts(spark, sf), "facts")
 
 
 def _weights(mode, **more):
@@ -30,24 +36,26 @@ def weighted_loss(spark, sf):
 
 
 def attribution(spark, sf):
-    paths = scores.per_path(weighted(spark, sf, "uniform"))
-    return scores.residual_scores(facts(spark, sf), paths)
+    made = staged_facts(spark, sf)
+    return scores.residual_scores(made, scores.per_path(weighted(spark, sf, "uniform", made)))
 
 
 def leaf_residual_score(spark, sf):
     return attribution(spark, sf).select(*KEY, F.round("energy", 4).alias("energy"), F.round("exposure", 4).alias("exposure"), F.round("score", 4).alias("score"))
 
 
-def _constant_facts(spark, sf):
-    return facts(spark, sf).join(lookup.sendable(fx.leaves(spark, sf).where("px = 0 and level < 2").select(*KEY)), KEY, "left_semi")
+def _constant_facts(spark, sf, made):
+    return made.join(lookup.sendable(fx.leaves(spark, sf).where("px = 0 and level < 2").select(*KEY)), KEY, "left_semi")
 
 
-def haar(spark, sf):
-    return scores.detail_gain(scores.haar_features(_constant_facts(spark, sf), L, N, V), scores.per_path(weighted(spark, sf)), 1e-3)
+def haar(spark, sf, made=None):
+    made = staged_facts(spark, sf) if made is None else made
+    return scores.detail_gain(scores.haar_features(_constant_facts(spark, sf, made), L, N, V), scores.per_path(weighted(spark, sf, made=made)), 1e-3)
 
 
-def trilinear(spark, sf):
-    return scores.detail_gain(scores.trilinear_features(_constant_facts(spark, sf), L, N, V), scores.per_path(weighted(spark, sf)), 1e-3)
+def trilinear(spark, sf, made=None):
+    made = staged_facts(spark, sf) if made is None else made
+    return scores.detail_gain(scores.trilinear_features(_constant_facts(spark, sf, made), L, N, V), scores.per_path(weighted(spark, sf, made=made)), 1e-3)
 
 
 def haar_gain(spark, sf):
@@ -60,9 +68,10 @@ def trilinear_gain(spark, sf):
 
 def hp_rates(spark, sf):
     """The better of splitting (99 bytes) and raising to trilinear (14 bytes) for each constant leaf."""
-    both = haar(spark, sf).withColumnRenamed("gain", "h").join(trilinear(spark, sf).withColumnRenamed("gain", "p"), KEY)
+    made = staged_facts(spark, sf)
+    both = haar(spark, sf, made).withColumnRenamed("gain", "h").join(trilinear(spark, sf, made).withColumnRenamed("gain", "p"), KEY)
     h, p = F.col("h") / 99.0, F.col("p") / 14.0
-    return both.select(*KEY, (h >= p).alias("split"), F.greatest(h, p).alias("rate"))
+    return snapshot(both.select(*KEY, (h >= p).alias("split"), F.greatest(h, p).alias("rate")), "rates")
 
 
 def hp_greedy_select(spark, sf):
@@ -90,7 +99,7 @@ def jump_rates(spark, sf):
     sized = fx.leaves(spark, sf).where("level < 2").select(*KEY, F.size("coeffs").alias("count"))
     cell = 2.0 / lookup.resolution(F.col("level"), L)
     cost = (85 + 14 * F.col("count")).cast("long")
-    return jumps.join(sized, KEY).select(*KEY, cost.alias("bytes"), (F.col("jump") * cell * cell * cell / cost).alias("rate")).where("rate > 0")
+    return jumps.join(sized, KEY).select(*KEY, cost.alias("bytes"), (F.col("jump") * cell * cell * cell / cost).alias("rate")).where("rate > 0").transform(lambda df: snapshot(df, "rates"))
 
 
 def jump_budget_select(spark, sf):
@@ -99,12 +108,12 @@ def jump_budget_select(spark, sf):
 
 def fraction_threshold_select(spark, sf):
     means = tree.with_mean(fx.leaves(spark, sf)).select(*KEY, "mu")
-    scored = attribution(spark, sf).join(means, KEY).where("level < 2")
+    scored = snapshot(attribution(spark, sf).join(means, KEY).where("level < 2"), "scored")
     return ordered.top_union(scored, "score", KEY, 0.1, 0.25, "mu", 0.06, 1.0).select(*KEY)
 
 
 def quantile_band_select(spark, sf):
-    return ordered.quantile_band(attribution(spark, sf).where("level < 2"), "score", 0.4, 0.8).select(*KEY)
+    return ordered.quantile_band(snapshot(attribution(spark, sf).where("level < 2"), "scored"), "score", 0.4, 0.8).select(*KEY)
 
 
 QUERIES = {f"projection_weights_{m}": _weights(m) for m in ("inverse", "uniform", "target_power", "sqrt_target", "blend")}

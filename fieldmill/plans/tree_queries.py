@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compress, fit, lookup, metrics, rewrite, stencil, tree
+from ..operators import compress, encode, fit, lookup, metrics, rewrite, stencil, tree
 from ..storage import snapshot
 from . import fixtures as fx
 from . import oracles as o
@@ -105,6 +105,14 @@ def _quantise(bits):
     return query
 
 
+def packed_nodes(spark, sf):
+    return encode.packed_nodes(fx.leaves(spark, sf), L[0])
+
+
+def split_bits(spark, sf):
+    return encode.split_bits(fx.leaves(spark, sf), L[0]).select("level", "place", F.col("bit").cast("long").alias("bit"))
+
+
 def image_gradient(spark, sf):
     return stencil.gradient_magnitude(fx.images(spark, sf), "v", ["row", "col"], ["view_id"]).select("view_id", "row", "col", F.round("gradient", 8).alias("gradient"))
 
@@ -192,7 +200,7 @@ def adam_steps(spark, sf):
     return fit.adam(rays, fx.logit_leaves(spark, sf), -3.0, L, N, V, 2).select(*KEY, "coefficient", F.round("logit", 5).alias("logit"))
 
 
-QUERIES = {f.__name__: f for f in (split_leaves, elevate_leaves, reduce_leaves, merge_siblings, balance_2to1, internal_nodes, sibling_groups, candidate_bank, candidate_bank_p1, tree_dp_lambda, lambda_bisection, pruned_decode, image_gradient, volume_gradient, total_variation, local_sigma, normalised_score, image_comparison, percentile_range, material_metrics, ema_last, convergence_window, kmeans_1d, mact_groups, coefficient_gradient, adam_steps)}
+QUERIES = {f.__name__: f for f in (split_leaves, elevate_leaves, reduce_leaves, merge_siblings, balance_2to1, internal_nodes, sibling_groups, candidate_bank, candidate_bank_p1, tree_dp_lambda, lambda_bisection, pruned_decode, packed_nodes, split_bits, image_gradient, volume_gradient, total_variation, local_sigma, normalised_score, image_comparison, percentile_range, material_metrics, ema_last, convergence_window, kmeans_1d, mact_groups, coefficient_gradient, adam_steps)}
 QUERIES |= {"quantize_u8": _quantise(8), "quantize_u16": _quantise(16)}
 
 _DESIGN, _INVERSE = compress.p1_design()
@@ -235,7 +243,11 @@ _IMG_GRAD = f"WITH {o.RAYS}, {o.IMAGES}, g AS (SELECT *, coalesce(0.5*(lead(v) O
 _PARTS = f"WITH {o.RAYS}, numbered AS (SELECT *, (row_number() OVER (PARTITION BY view_id ORDER BY ray_id)-1)//50 AS i FROM rays), means AS (SELECT view_id, i, avg(target) AS v FROM numbered GROUP BY ALL), arrays AS (SELECT view_id, list(v ORDER BY i) AS values FROM means GROUP BY view_id)"
 _CHILD_AT = lambda a: f"(o{a}+j{a})/2.0"
 
+_PACKED = f"WITH {o.LEAVES}, {_NODES}, nodes AS (SELECT level, ix, iy, iz, 0 AS leaf FROM up UNION ALL SELECT level, ix, iy, iz, 1 FROM leaves), p0 AS (SELECT *, ((ix >> level::INT)*4+(iy >> level::INT))*4+(iz >> level::INT) AS root, CASE WHEN level >= 1 THEN ((ix >> (level-1)::INT)%2)*4+((iy >> (level-1)::INT)%2)*2+(iz >> (level-1)::INT)%2 ELSE 0 END AS o1, CASE WHEN level >= 2 THEN (ix%2)*4+(iy%2)*2+iz%2 ELSE 0 END AS o2 FROM nodes), packed AS (SELECT row_number() OVER w - 1 AS node_id, level, ix, iy, iz, CASE WHEN leaf = 0 THEN (64+8*(sum(1-leaf) OVER w - 1))::BIGINT END AS child_base, CASE WHEN leaf = 1 THEN (sum(leaf) OVER w - 1)::BIGINT END AS leaf_id FROM p0 WINDOW w AS (ORDER BY level, root, o1, o2 ROWS UNBOUNDED PRECEDING))"
+
 ORACLES = {
+    "packed_nodes": _PACKED + " SELECT * FROM packed",
+    "split_bits": _PACKED + " SELECT level, node_id - min(node_id) OVER (PARTITION BY level) AS place, (child_base IS NOT NULL)::BIGINT AS bit FROM packed",
     "internal_nodes": f"WITH {o.LEAVES}, {_NODES} SELECT level, ix, iy, iz FROM up",
     "sibling_groups": f"WITH {o.LEAVES} SELECT level-1 AS level, ix//2 AS ix, iy//2 AS iy, iz//2 AS iz FROM leaves WHERE level > 0 GROUP BY ALL HAVING count(*) = 8",
     "split_leaves": f"WITH {o.LEAVES}, {o.COEFFS}, cut AS (SELECT * FROM leaves WHERE level < 2 AND d <= 1), kidk AS (SELECT c.level+1 AS level, 2*ix+ox AS ix, 2*iy+oy AS iy, 2*iz+oz AS iz, d, mu, ox, oy, oz, jx, jy, jz FROM cut c, range(2) a(ox), range(2) b(oy), range(2) e(oz), range(2) f(jx), range(2) g(jy), range(2) h(jz) WHERE jx <= d AND jy <= d AND jz <= d), vals AS (SELECT level, ix, iy, iz, (jx*(d+1)+jy)*(d+1)+jz AS k, CASE WHEN d = 0 THEN mu[1] ELSE "
