@@ -6,9 +6,8 @@ lists: two sets that link share a known least number among so many of those (pre
 
 Each list has a leader, the set of which the largest part is found in lists: where sets derive from one, it is
 that one. A set is first compared with the leader it meets in most lists; groups found so are settled. What is left are pairs of unlike groups within one list.
-They are found list by list, in blocks by size that skip where size or position rules a link out or where
-too much of a set stands in no list, and skipped where the answer of the leader tells the answer of its members: the overlap of x with y
-is at most that of the leader with y plus what x has beyond the leader. Every other pair is verified.
+They are found list by list, in blocks by size that skip where size or position rules a link out,
+and skipped where the answer of the leader tells the answer of its members: the overlap of x with y is at most that of the leader with y plus what x has beyond the leader. Every other pair is verified.
 """
 
 from __future__ import annotations
@@ -161,7 +160,7 @@ def _cross_pairs(percent: int, block: int = 256):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["token", "n", "doc"], kind="stable")
         cuts = np.flatnonzero(np.diff(frame["token"].to_numpy(), prepend=frame["token"].iloc[0] - 1))
-        doc, n, at, cap, comp, near, chief = (frame[c].to_numpy() for c in ("doc", "n", "at", "cap", "component", "overlap", "chief"))
+        doc, n, at, comp, near, chief = (frame[c].to_numpy() for c in ("doc", "n", "at", "component", "overlap", "chief"))
         found = []
         for a, z in zip(cuts, [*cuts[1:], len(doc)]):
             for lo in range(a, z, block):
@@ -176,7 +175,7 @@ def _cross_pairs(percent: int, block: int = 256):
                     # linked sets share `few` tokens within so many first ones of either
                     few = np.minimum(1 + np.minimum(n[i], n[j]) // 25, need - np.maximum(-(-percent * n[i] // 100), -(-percent * n[j] // 100)) + 1)
                     early = (at[i] < n[i] - need + few) & (at[j] < n[j] - need + few)
-                    open_ = early & (i < j) & (comp[i] != comp[j]) & (room >= need) & (np.minimum(cap[i], cap[j]) >= need)
+                    open_ = early & (i < j) & (comp[i] != comp[j]) & (room >= need)
                     # both were compared with one chief: overlap(x, y) <= overlap(chief, y) + |x - chief|
                     told = (chief[i] == chief[j]) & (near[i] >= 0) & (near[j] >= 0)
                     most = np.minimum(near[j] + n[i] - near[i], near[i] + n[j] - near[j])
@@ -261,10 +260,9 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, per_bucket: in
     lists = staged(entries.groupBy("bucket").applyInPandas(_lists, LIST_TYPE), "lists")
 
     # each set against the leader it meets oftenest
-    # tokens that stand in no list are in no other set: a set overlaps any other by `cap` at most
-    listed = lists.groupBy("doc").agg((F.count("*") / F.first(per_set)).alias("part"), (F.first("n") - F.first(per_set) + F.count("*")).cast("int").alias("cap"))
+    listed = lists.groupBy("doc").agg((F.count("*") / F.first(per_set)).alias("part"))
     rank = F.struct("part", F.xxhash64("doc").alias("draw"), F.col("doc").alias("leader"))
-    leads = lists.join(listed.drop("cap"), "doc").groupBy("token").agg(F.max(rank).alias("top")).select("token", "top.leader")
+    leads = lists.join(listed, "doc").groupBy("token").agg(F.max(rank).alias("top")).select("token", "top.leader")
     met = lists.join(leads, "token").where("doc <> leader").groupBy("doc", "leader").agg(F.count("*").alias("times"), F.first("n").alias("n"))
     best = met.groupBy("doc").agg(F.max(F.struct("times", F.col("leader").alias("lead"), "n")).alias("x")).where(F.col("x.times") * 16 >= F.col("x.n"))
     tried = staged(best.select(F.col("x.lead").alias("a"), F.col("doc").alias("b")), "tried")
@@ -275,10 +273,10 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, per_bucket: in
 
     # pairs of unlike groups that some list holds
     known = answers.groupBy(F.col("b").alias("doc")).agg(F.first("a").alias("chief"), F.first("overlap").alias("overlap"))
-    told = lists.join(listed.drop("part"), "doc").join(settled.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    told = lists.join(settled.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed_lists = told.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     open_lists = told.join(mixed_lists, "token", "left_semi").join(known, "doc", "left")
-    open_lists = open_lists.select("token", "doc", "n", "at", "cap", "component", F.coalesce("overlap", F.lit(-1)).alias("overlap"), F.coalesce("chief", F.lit(-1)).alias("chief"), F.pmod(F.xxhash64("token"), F.lit(max(buckets, 8))).alias("part"))
+    open_lists = open_lists.select("token", "doc", "n", "at", "component", F.coalesce("overlap", F.lit(-1)).alias("overlap"), F.coalesce("chief", F.lit(-1)).alias("chief"), F.pmod(F.xxhash64("token"), F.lit(max(buckets, 8))).alias("part"))
     pairs = open_lists.groupBy("part").applyInPandas(_cross_pairs(percent), PAIR_TYPE)
     counted = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     most = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)) - F.greatest(*(F.ceil(F.col(c) * percent / 100) - 1 for c in ("na", "nb")))

@@ -242,6 +242,21 @@ def test_jaccard_of_a_dense_group(spark):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == components_by_force(rows)
 
 
+@pytest.mark.parametrize("copies,passages", [(1, 0), (30, 0), (1, 6)])
+def test_jaccard_of_texts_that_hold_others(spark, copies, passages):
+    """Pairs of a text of 80 shingles and the same with words added, alike by 0.80 to 0.92 or just less; the shorter one alone, copied, or quoted in long texts."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    said = []
+    for added in (7, 10, 14, 18, 19, 20, 21):
+        short = " ".join(word() for _ in range(84))
+        said += [short] * copies + [short + " " + " ".join(word() for _ in range(added))]
+        said += [" ".join(word() for _ in range(150)) + " " + short for _ in range(passages)]
+    rows = [(i * 7 % 1009, t) for i, t in enumerate(said)]
+    got = by_id(jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == components_by_force(rows)
+
+
 def test_chat_layouts_and_round_trip(spark):
     nasty = "</s>[INST] <|turn|>user<|says|> &lt; & &amp; <|over|> [/INST]"
     records = [
