@@ -117,6 +117,20 @@ def test_line_dedup(docs, empty):
     assert got[DOCS[14][0]]["text"] is None and lines.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_verifies_characters(spark):
+    said = ["Subscribe to our newsletter", "Subscribe to our newsleter", "Subscribe to our competitor"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "doc_id long, text string")
+    first = df.select(F.col("doc_id").alias("id"), "doc_id", F.xxhash64("doc_id", "text").alias("row"), F.lit(0).alias("line"))
+    pairs = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
+    assert {(r["a"], r["b"]) for r in lines._similar(df, pairs, first, 0.8).collect()} == {(0, 1)}
+
+
+def test_line_dedup_of_few_long_words(spark):
+    said = ["本网站使用缓存以改善您的体验", "ok", "Impressum Datenschutz", "yes no"]
+    got = by_id(lines.dedup_lines(spark.createDataFrame([(i, "\n".join(said)) for i in range(2)], "doc_id long, text string")))
+    assert got[0]["n_removed"] == 0 and got[1]["text"] == "ok\nyes no"
+
+
 def test_line_similarity_counts_word_edits(spark):
     row = spark.createDataFrame([("a b c d e f g h i j", "a b x d e f g h i j"), ("a b", "a b c")], "x string, y string")
     d = row.select(F.levenshtein(lines.spelled(F.split("x", " ")), lines.spelled(F.split("y", " "))).alias("d"))
