@@ -131,6 +131,26 @@ def test_line_dedup_of_few_long_words(spark):
     assert got[0]["n_removed"] == 0 and got[1]["text"] == "ok\nyes no"
 
 
+def test_line_dedup_recall_of_changed_words(spark):
+    """Lines of 4 to 50 words with up to a tenth of them changed, one at least, or one added: all that are alike by force go."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    said = []
+    for n in (4, 5, 6, 8, 10, 15, 20, 35, 50):
+        for k in {1, max(1, n // 10)}:
+            for _ in range(6):
+                w = [word() for _ in range(n)]
+                v = list(w)
+                for at in rng.sample(range(n), k):
+                    v[at] = v[at][:-1] + "é" if n < 6 else word()
+                more = list(w)
+                more.insert(rng.randrange(n + 1), word())
+                said += [(" ".join(w), " ".join(v)), *([(" ".join(w), " ".join(more))] if n > 5 else [])]
+    rows = [(2 * i + j, t) for i, pair in enumerate(said) for j, t in enumerate(pair)]
+    got = by_id(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sum(got[2 * i + 1]["n_removed"] for i in range(len(said))) == len(said)
+
+
 def test_line_similarity_counts_word_edits(spark):
     row = spark.createDataFrame([("a b c d e f g h i j", "a b x d e f g h i j"), ("a b", "a b c")], "x string, y string")
     d = row.select(F.levenshtein(lines.spelled(F.split("x", " ")), lines.spelled(F.split("y", " "))).alias("d"))
