@@ -49,6 +49,27 @@ def text_pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int
         row = end
 
 
+def text_runs(data: np.ndarray, offsets: np.ndarray, longest: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets of runs, text of each run): a text of over `longest` bytes is cut behind white space, or at a code point, so
+    that no run is much longer; where it is cut depends on the text alone."""
+    sizes = np.diff(offsets)
+    if not (sizes > longest).any():
+        return offsets, np.arange(len(sizes))
+    cuts, owner = [0], []
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        while b - a > longest:
+            tail = data[a + longest // 2 : a + longest]
+            fit = np.flatnonzero(SEPARATES[tail])
+            if not len(fit):
+                fit = np.flatnonzero((tail & 0xC0) != 0x80) - 1
+            a += longest // 2 + int(fit[-1]) + 1
+            cuts.append(a)
+            owner.append(i)
+        cuts.append(b)
+        owner.append(i)
+    return np.array(cuts, np.int64), np.array(owner, np.int64)
+
+
 class Powers:
     """Powers of the hash base and of its inverse, as far as needed."""
 

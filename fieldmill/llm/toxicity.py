@@ -1,134 +1,196 @@
 """Toxicity by a subsequence string kernel: a support vector machine on Nyström landmarks.
 
 The kernel of two strings counts the four-letter subsequences they share, each weighed by
-decay ** (characters skipped), so `i-d-i.o t` still resembles `idiot`. Sentences (cut at spaces
-where they are long) are compared with some landmark words; whitened, the kernel values are coordinates in which a linear machine is
-trained on labelled sentences. Labels come per document: in each round the sentences of a toxic
-document that score highest stand for it (multiple instances), all sentences of clean ones are negatives.
-
-Since every kernel value is a sum over subsequences, the trained machine is one weight per
-subsequence. Scoring looks these weights up for each position and each pattern of gaps, for
-millions of bytes at once. A document's score is that of its worst sentence, through a fitted sigmoid.
+decay ** (letters and spaces skipped). Texts are read by code points: case is dropped, marks and digits are no
+part of a word, and spaces between single letters go, so `i-d-i.o t`, `i d i o t` and `idxiot` all resemble `idiot`.
+Sentences (runs of whole words of about 24 letters) are compared with landmarks, words and beginnings of words;
+whitened, the kernel values are coordinates in which a linear machine is trained on labelled sentences.
+Labels come per document: in each round the two sentences of a toxic document that score highest stand for it
+(multiple instances); the highest ones of clean documents, and some drawn ones, are negatives.
+
+Since every kernel value is a sum over subsequences, the trained machine is one weight per subsequence.
+Scoring looks these weights up for each position and each pattern of gaps, for millions of letters at once; no
+subsequence runs from one text into another. A document's score is that of its two worst sentences through a
+sigmoid, which is fitted on documents the machine wasn't trained on.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import text_pieces
+from .bytesets import text_pieces, text_runs
 from .common import texts
 
-LETTERS = 28
-#: 0 for what is no letter, 1 to 26 for letters of either case, 27 for any byte of other alphabets.
-CODES = np.zeros(256, np.int32)
-CODES[97:123] = CODES[65:91] = np.arange(1, 27)
-CODES[128:] = 27
+#: Symbols: 0 for white space, 1 to 26 for a to z, the rest shared by all letters of other alphabets.
+SYMBOLS = 40
 #: Skipped characters before the second, third and fourth letter.
 GAPS = tuple((a, b, c) for a in range(3) for b in range(3) for c in range(3) if a + b + c <= 3)
 DECAY = 0.75
 REACH = 3 + max(sum(g) for g in GAPS)
-
-
-def _codes(data: np.ndarray) -> np.ndarray:
-    return np.concatenate([CODES[data], np.zeros(REACH + 3, np.int32)])
-
-
-def _subsequences(code: np.ndarray, n: int, gap: tuple[int, int, int]) -> np.ndarray:
-    """The number of the subsequence that begins at each of n positions; its letters are base-28 digits."""
-    b, c, d = gap[0] + 1, gap[0] + gap[1] + 2, sum(gap) + 3
-    return ((code[:n] * LETTERS + code[b : b + n]) * LETTERS + code[c : c + n]) * LETTERS + code[d : d + n]
-
-
-def features(text: bytes) -> Counter:
+UNIT = 24
+_SKIP = 255
+
+
+@cache
+def _symbol_table() -> np.ndarray:
+    """The symbol of each code point up to 65535; characters that are neither letters nor white space are skipped."""
+    table = np.full(1 << 16, _SKIP, np.uint8)
+    for i in range(1 << 16):
+        c = chr(i).lower()[:1]
+        if chr(i).isspace():
+            table[i] = 0
+        elif c.isalpha():
+            table[i] = ord(c) - 96 if "a" <= c <= "z" else 27 + (ord(c) * 0x9E3779B1 >> 7) % (SYMBOLS - 27)
+    return table
+
+
+def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of all texts with REACH zeros behind each, where each text begins and the end)."""
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    symbol = _symbol_table()[np.minimum(points, (1 << 16) - 1)]
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(begins))
+    keep = symbol != _SKIP
+    symbol, row = symbol[keep], row[keep]
+
+    def around(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the character before, and the one behind, has a flag; the text's edges count as flagged."""
+        new = row[1:] != row[:-1]
+        return np.concatenate([[True], flag[:-1] | new])[: len(flag)], np.concatenate([flag[1:] | new, [True]])[-len(flag) :] if len(flag) else flag
+
+    before, _ = around(symbol == 0)
+    keep = ~((symbol == 0) & before)
+    symbol, row = symbol[keep], row[keep]
+    before, behind = around(symbol == 0)
+    alone = (symbol > 0) & before & behind
+    before, behind = around(alone)
+    keep = ~((symbol == 0) & before & behind)
+    symbol, row = symbol[keep], row[keep]
+    out = np.zeros(len(symbol) + REACH * (len(offsets) - 1), np.uint8)
+    out[np.arange(len(symbol)) + row * REACH] = symbol
+    return out, np.searchsorted(row, np.arange(len(offsets))) + np.arange(len(offsets)) * REACH
+
+
+def units(symbol: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where sentences begin: at every text, then at the first word in each further UNIT characters."""
+    starts = np.flatnonzero((symbol > 0) & np.concatenate([[True], symbol[:-1] == 0])[: len(symbol)])
+    text = np.searchsorted(begins, starts, "right") - 1
+    block = (starts - begins[text]) // UNIT
+    new = np.concatenate([[True], (block[1:] != block[:-1]) | (text[1:] != text[:-1])])[: len(starts)]
+    return np.union1d(begins[:-1], starts[new])
+
+
+def features(text: str) -> Counter:
     """Weights of the subsequences of one string."""
-    data = np.frombuffer(text, np.uint8)
-    code, out = _codes(data), Counter()
-    for gap in GAPS:
-        for s in _subsequences(code, len(data), gap).tolist():
-            if s % LETTERS and s // LETTERS % LETTERS and s // LETTERS**2 % LETTERS and s // LETTERS**3:
-                out[s] += DECAY ** sum(gap)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    symbol, out = letters(raw, np.array([0, len(raw)]))[0], Counter()
+    for i in range(len(symbol) - REACH):
+        for a, b, c in GAPS:
+            s = [int(symbol[i + k]) for k in (0, a + 1, a + b + 2, a + b + c + 3)]
+            if all(s):
+                out[((s[0] * SYMBOLS + s[1]) * SYMBOLS + s[2]) * SYMBOLS + s[3]] += DECAY ** (a + b + c)
     return out
 
 
-def sentence_starts(data: np.ndarray, offsets: np.ndarray, longest: int = 40) -> np.ndarray:
-    """Where sentences begin: texts, after .!? with white space behind, after line ends; long ones are cut at spaces."""
-    n = len(data)
-    white = (data == 32) | ((data >= 9) & (data <= 13))
-    ends = np.zeros(n + 1, bool)
-    stop = (data == 46) | (data == 33) | (data == 63)
-    ends[1:n] = stop[:-1] & white[1:] | (data[:-1] == 10)
-    ends[offsets[:-1]] = True
-    starts = np.flatnonzero(ends[:n])
-    sizes = np.diff(np.append(starts, n))
-    if not (sizes > longest).any():
-        return starts
-    spaces = np.flatnonzero(white) + 1
-    extra = []
-    for a, size in zip(starts[sizes > longest].tolist(), sizes[sizes > longest].tolist()):
-        own = spaces[np.searchsorted(spaces, a + 1) : np.searchsorted(spaces, a + size)]
-        if len(own):
-            own = own[np.concatenate([[True], np.diff((own - a) // longest) > 0])]
-            extra.append(own[own - a >= longest // 2])
-    return np.unique(np.concatenate([starts, *extra]))
-
-
 @dataclass(frozen=True)
 class ToxicModel:
-    """A weight for each subsequence, and the sigmoid from a document's worst sentence to a score."""
+    """A weight for each subsequence, and the sigmoid from a document's two worst sentences to a score."""
 
     weights: np.ndarray
-    slope: float
-    shift: float
-
-    def sentence_scores(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        n = len(data)
-        code, total = _codes(data), np.zeros(n, np.float32)
-        for gap in GAPS:
-            total += self.weights[_subsequences(code, n, gap)] * np.float32(DECAY ** sum(gap))
-        return np.add.reduceat(total, starts) if n else np.zeros(0, np.float32)
+    slopes: tuple[float, float] = (1.0, 0.0)
+    shift: float = 0.0
+
+    def at_positions(self, symbol: np.ndarray) -> np.ndarray:
+        """What the subsequences that begin at each position add up to."""
+        n, total = max(0, len(symbol) - REACH), np.zeros(len(symbol), np.float32)
+        code = symbol.astype(np.intp)
+        low = [code[: len(code) - k - 1] * SYMBOLS + code[k + 1 :] for k in range(3)]  # pairs of letters, k skipped between
+        high = [x[:n] * SYMBOLS**2 for x in low]
+        for skipped in range(4):
+            part = np.zeros(n, np.float32)
+            for a, b, c in GAPS:
+                if a + b + c == skipped:
+                    part += self.weights[high[a] + low[c][a + b + 2 : a + b + 2 + n]]
+            total[:n] += part * np.float32(DECAY**skipped)
+        return total
 
     def worst(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The highest sentence score of each text; 0 for empty ones."""
-        out = np.zeros(len(offsets) - 1)
-        if len(data):
-            starts = sentence_starts(data, offsets)
-            scores = self.sentence_scores(data, starts)
-            full = np.flatnonzero(np.diff(offsets))
-            out[full] = np.maximum.reduceat(scores, np.searchsorted(starts, offsets[full]))
+        """The two highest sentence scores of each text, a column each; 0 at least."""
+        out = np.zeros((len(offsets) - 1, 2))
+        runs, owner = text_runs(data, offsets)
+        at = 0
+        while at < len(owner):  # some hundred thousand bytes at a time
+            end = max(at + 1, int(np.searchsorted(runs, runs[at] + (1 << 18), "right")) - 1)
+            own = data[runs[at] : runs[end]]
+            symbol, begins = letters(own, runs[at : end + 1] - runs[at])
+            if len(symbol):
+                starts = units(symbol, begins)
+                scores = np.maximum(np.add.reduceat(self.at_positions(symbol), starts), 0)
+                text = owner[at:end][np.searchsorted(begins, starts, "right") - 1]
+                order = np.lexsort((-scores, text))
+                text, scores = text[order], scores[order]
+                first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+                second = first[np.concatenate([np.diff(first), [len(text) - first[-1]]]) > 1] + 1
+                old = out[text[first]]  # of earlier runs of the same text
+                new = np.zeros((len(first), 2))
+                new[:, 0] = scores[first]
+                new[np.searchsorted(first, second - 1), 1] = scores[second]
+                out[text[first]] = np.sort(np.hstack([old, new]), axis=1)[:, :1:-1]
+            at = end
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * self.worst(data, offsets) + self.shift)))
+        first, second = self.worst(data, offsets).T
+        return 1 / (1 + np.exp(-np.clip(first * self.slopes[0] + second * self.slopes[1] + self.shift, -50, 50)))
+
 
+def _landmarks(toxic: list[str], clean: list[str], count: int) -> tuple[list[str], int]:
+    """Words and beginnings of words that mark toxic documents, and how many; then usual words of clean ones.
 
-def _sentences(text: str) -> list[bytes]:
-    data = np.frombuffer(text.encode(), np.uint8)
-    if not len(data):
-        return []
-    cuts = sentence_starts(data, np.array([0, len(data)])).tolist()
-    return [data[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(data)])]
+    Of those that surely come more often in toxic documents, each next one is that which marks most documents
+    that the ones before leave unmarked, so that insults of rarer languages have theirs too.
+    """
+    word = re.compile(r"[^\W\d_]{4,24}")
 
+    def parts(text: str) -> set[str]:
+        own = set(word.findall(text.lower()))
+        return own | {w[:k] for w in own for k in (4, 5, 6, 8) if k < len(w)}
 
-def _landmarks(toxic: list[list[bytes]], clean: list[list[bytes]], count: int) -> tuple[list[bytes], int]:
-    """Words that surely mark toxic documents, surest first, and how many; then usual words of clean ones."""
-    held = []
-    for docs in (toxic, clean):
-        held.append(Counter(w for d in docs for w in {w.strip(b".,;:!?\"'()*") for s in d for w in s.lower().split()} if 4 <= len(w) <= 24))
+    held = [Counter(), Counter()]
+    for docs, counter in zip((toxic, clean), held):
+        for d in docs:
+            counter.update(parts(d))
     a, b = len(toxic), len(clean)
-    surety = {}
+    sure = {}
     for w, n in held[0].items():
         all_share = (n + held[1][w] + 1) / (a + b + 2)
-        surety[w] = (n / a - held[1][w] / b) / np.sqrt(all_share * (1 - all_share) * (1 / a + 1 / b))
-    marks = [w for w in sorted(surety, key=lambda w: (-surety[w], w)) if surety[w] > 2.5][: count // 2]
-    usual = [w for w in sorted(held[1], key=lambda w: (-held[1][w], w)) if w not in marks]
+        surety = (n / a - held[1][w] / b) / np.sqrt(all_share * (1 - all_share) * (1 / a + 1 / b))
+        if surety > 2.5:
+            sure[w] = held[1][w] / b * a
+    column = {w: i for i, w in enumerate(sorted(sure))}
+    names, cost = sorted(sure), np.array([sure[w] for w in sorted(sure)])
+    there = np.zeros((a, len(names)), bool)
+    for row, d in zip(there, toxic):
+        row[[column[w] for w in parts(d) if w in column]] = True
+    left, marks = np.ones(a), []
+    gain = lambda: left @ there - cost
+    while len(marks) < min(count // 2, len(names)) and (best := gain()).max() > 0.5:
+        k = int(best.argmax())
+        marks.append(names[k])
+        left[there[:, k]] *= 0.6
+        cost[k] = np.inf
+    full = Counter(w for d in clean for w in set(word.findall(d.lower())))
+    usual = [w for w in sorted(full, key=lambda w: (-full[w], w)) if w not in marks]
     return [*marks, *usual[: count - len(marks)]], len(marks)
 
 
@@ -149,78 +211,130 @@ def _support_vector(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: floa
     return mean
 
 
-def fit(documents: list[tuple[str, int]], share: float | None = None, landmarks: int = 160, rounds: int = 2, cost: float = 10.0) -> ToxicModel:
+def _joined(documents: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raw = [d.encode() for d in documents]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+
+
+class _Sentences:
+    """All sentences of some documents, and those of the highest scores."""
+
+    def __init__(self, documents: list[str], drawn: int, seed: int):
+        self.symbol, self.begins = letters(*_joined(documents))
+        self.starts = units(self.symbol, self.begins)
+        self.text = np.searchsorted(self.begins, self.starts, "right") - 1
+        self.ends = np.append(self.starts[1:], len(self.symbol))
+        draw = np.random.default_rng(seed).random(len(self.starts))
+        self.drawn = self._top(draw, drawn)
+
+    def _top(self, value: np.ndarray, count: int) -> np.ndarray:
+        order = np.lexsort((-value, self.text))
+        rank = np.arange(len(order)) - np.searchsorted(self.text[order], self.text[order])
+        return np.sort(order[rank < count])
+
+    def highest(self, model: ToxicModel, count: int) -> np.ndarray:
+        return self._top(np.add.reduceat(model.at_positions(self.symbol), self.starts), count)
+
+    def kernel(self, chosen: np.ndarray, column: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Kernel values of chosen sentences with all landmarks; a row of `marks` per landmark."""
+        out, by_id = np.zeros((len(chosen), len(marks)), np.float32), np.ascontiguousarray(marks.T)
+        for a in range(0, len(chosen), 500):
+            some = chosen[a : a + 500]
+            size = self.ends[some] - self.starts[some]
+            row = np.repeat(np.arange(len(some)), size)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.starts[some], size)
+            ahead = np.minimum(place[:, None] + np.arange(REACH + 1), len(self.symbol) - 1)
+            letter = self.symbol[ahead].astype(np.int32)
+            rows, ids, parts = [], [], []
+            for gap in GAPS:
+                b, c, d = gap[0] + 1, gap[0] + gap[1] + 2, sum(gap) + 3
+                at = column[((letter[:, 0] * SYMBOLS + letter[:, b]) * SYMBOLS + letter[:, c]) * SYMBOLS + letter[:, d]]
+                rows.append(row[at >= 0])
+                ids.append(at[at >= 0])
+                parts.append(np.full(len(ids[-1]), DECAY ** sum(gap), np.float32))
+            rows, ids, parts = np.concatenate(rows), np.concatenate(ids), np.concatenate(parts)
+            order = np.argsort(rows, kind="stable")
+            if len(order):
+                first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+                out[a + rows[order][first]] = np.add.reduceat(by_id[ids[order]] * parts[order, None], first, axis=0)
+        return out
+
+
+def fit(documents: list[tuple[str, int]], share: float | None = None, landmarks: int = 160, rounds: int = 3, cost: float = 10.0) -> ToxicModel:
     """Train on (text, label) documents; `share` is that of label 1 where they come from.
 
+    A quarter of the documents, by a hash of the text, is left out of training and fits the sigmoid. Toxic documents
+    are learnt as they are and spoiled.
     With one label only, the model gives that label's share everywhere.
     """
-    toxic, clean = ([s for text, label in documents if (label == 1) == want and (s := _sentences(text or ""))] for want in (True, False))
-    table = np.zeros(LETTERS**4, np.float32)
-    own = len(toxic) / max(1, len(toxic) + len(clean))
+    documents = [(t or "", int(label == 1)) for t, label in documents]
+    apart = [zlib.crc32(t.encode()) % 4 == 0 for t, _ in documents]
+    if len({x for (_, x), left in zip(documents, apart) if left}) < 2 or len({x for (_, x), left in zip(documents, apart) if not left}) < 2:
+        apart = [False] * len(documents)
+    train = [d for d, left in zip(documents, apart) if not left]
+    held = [d for d, left in zip(documents, apart) if left] or train
+    toxic, clean = ([t for t, label in train if label == want and t.strip()] for want in (1, 0))
+    table = np.zeros(SYMBOLS**4, np.float32)
+    own = sum(label for _, label in documents) / max(1, len(documents))
     share = own if share is None else share
     if not toxic or not clean:
-        return ToxicModel(table, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+        return ToxicModel(table, (0.0, 0.0), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     words, sure = _landmarks(toxic, clean, landmarks)
-    marks = [features(w) for w in words]
-    ids = np.unique(np.concatenate([np.fromiter(m, np.int64) for m in marks]))
-    matrix = np.zeros((len(marks), len(ids)))
+    marks = [m for m in (features(w) for w in words) if m]
+    ids = np.unique(np.concatenate([np.fromiter(m, np.int64) for m in marks])) if marks else np.zeros(0, np.int64)
+    if not len(ids):
+        return ToxicModel(table, (0.0, 0.0), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+    matrix = np.zeros((len(marks), len(ids)), np.float32)
     for row, m in zip(matrix, marks):
         row[np.searchsorted(ids, np.fromiter(m, np.int64))] = np.fromiter(m.values(), float)
         row /= max(1e-9, np.sqrt((row**2).sum()))
-    values, vectors = np.linalg.eigh(matrix @ matrix.T)
+    values, vectors = np.linalg.eigh((matrix @ matrix.T).astype(float))
     keep = values > 1e-6 * values[-1]
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
-    column = np.full(LETTERS**4, -1, np.int64)
+    whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
+    column = np.full(SYMBOLS**4, -1, np.int32)
     column[ids] = np.arange(len(ids))
-
-    def kernel(sentences: list[bytes]) -> np.ndarray:
-        """Kernel values of sentences with all landmarks."""
-        out = []
-        for a in range(0, len(sentences), 1000):
-            some = sentences[a : a + 1000]
-            data = np.frombuffer((b"." * REACH).join(some), np.uint8)
-            sizes = np.array([len(s) + REACH for s in some])
-            row, code = np.repeat(np.arange(len(some)), sizes)[: len(data)] * len(ids), _codes(data)
-            sums = np.zeros(len(some) * len(ids))
-            for gap in GAPS:
-                at = column[_subsequences(code, len(data), gap)]
-                sums += np.bincount((row + at)[at >= 0], minlength=len(sums)) * DECAY ** sum(gap)
-            out.append((sums.reshape(len(some), -1) @ matrix.T).astype(np.float32))
-        return np.vstack(out)
-
-    whiten = whiten.astype(np.float32)
-    coordinates = lambda k: np.hstack([k @ whiten, np.ones((len(k), 1), np.float32)])
-    of_doc = np.concatenate([[i] * len(d) for i, d in enumerate(toxic)]).astype(int)
-    pos = kernel([s for d in toxic for s in d])
-    score = pos[:, :sure].max(1) if sure else np.ones(len(pos))
-    pos = coordinates(pos)
-    neg = coordinates(kernel([s for d in clean for s in d]))
+    pos, neg = _Sentences(toxic + [spoiled(t, i) for i, t in enumerate(toxic)], 0, 1), _Sentences(clean, 10, 2)
+    coordinates = lambda s, at: np.hstack([s.kernel(at, column, matrix) @ whiten, np.ones((len(at), 1), np.float32)])
+    table[ids] = matrix[: max(1, sure)].sum(0)
+    hard = neg.drawn
     for _ in range(rounds):
-        best = np.full(len(toxic), -np.inf)
-        np.maximum.at(best, of_doc, score)
-        chosen = (score >= best[of_doc] - 1e-9)
-        y = np.repeat([1.0, -1.0], [chosen.sum(), len(neg)])
-        w = _support_vector(np.vstack([pos[chosen], neg]), y, np.where(y > 0, 3.0, 1.0), cost)
-        score = pos @ w
-    table[ids] = matrix.T @ (whiten @ w[:-1])
-    return _calibrated(ToxicModel(table, 1.0, 0.0), documents, share)
+        model = ToxicModel(table)
+        chosen, hard = pos.highest(model, 2), np.union1d(hard, neg.highest(model, 3))
+        x = np.vstack([coordinates(pos, chosen), coordinates(neg, hard)])
+        y = np.repeat([1.0, -1.0], [len(chosen), len(hard)])
+        w = _support_vector(x, y, np.where(y > 0, len(hard) / len(chosen) / 2, 1.0), cost)
+        table = np.zeros(SYMBOLS**4, np.float32)
+        table[ids] = matrix.T @ (whiten @ w[:-1].astype(np.float32))
+    return _calibrated(ToxicModel(table), held, share)
+
+
+def spoiled(text: str, seed: int) -> str:
+    """The text with a letter or a mark put into each word of five letters or more, as one does to hide an insult."""
+    rng = np.random.default_rng(seed)
+
+    def change(m: re.Match) -> str:
+        w, k = m[0], int(rng.integers(1, len(m[0])))
+        return w[:k] + ".-*xo"[int(rng.integers(5))] + w[k:]
+
+    return re.sub(r"[^\W\d_]{5,}", change, text)
 
 
 def _calibrated(model: ToxicModel, documents: list[tuple[str, int]], share: float) -> ToxicModel:
-    """Fit the sigmoid by Newton steps, labels weighed to the share they have where the documents come from."""
-    raw, label = [], np.array([float(b == 1) for _, b in documents])
-    for text, _ in documents:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        raw.append(model.worst(data, np.array([0, len(data)]))[0])
-    x = np.column_stack([raw, np.ones(len(raw))])
+    """Fit the sigmoid by Newton steps, labels weighed to the share they have where the documents come from; every
+    document counts as it is and spoiled."""
+    label = np.array([float(b) for _, b in documents] * 2)
+    raw = model.worst(*_joined([t for t, _ in documents] + [spoiled(t, i) for i, (t, _) in enumerate(documents)]))
+    scale = max(1e-9, float(np.median(raw[label == 1, 0])) if (label == 1).any() else 1.0)
+    x = np.column_stack([raw / scale, np.ones(len(raw))])
     weight = np.where(label == 1, share / max(1, label.sum()), (1 - share) / max(1, (1 - label).sum())) * len(label)
-    beta = np.array([1.0, 0.0])
+    beta, ridge = np.array([1.0, 1.0, -1.0]), np.array([1e-2, 1e-2, 1e-4])
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        grad = x.T @ (weight * (p - label)) + 1e-3 * beta
-        step = np.linalg.solve((x.T * (weight * p * (1 - p) + 1e-9)) @ x + 1e-3 * np.eye(2), grad)
+        grad = x.T @ (weight * (p - label)) + ridge * beta
+        step = np.linalg.solve((x.T * (weight * p * (1 - p) + 1e-9)) @ x + np.diag(ridge), grad)
         beta = beta - np.clip(step, -1, 1)
-    return ToxicModel(model.weights, float(max(beta[0], 1e-3)), float(beta[1]))
+    slopes = np.maximum(beta[:2], 1e-3) / scale
+    return ToxicModel(model.weights, (float(slopes[0]), float(slopes[1])), float(beta[2]))
 
 
 def training_documents(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, most_bytes: int = 20_000) -> tuple[list[tuple[str, int]], float]:
@@ -251,7 +365,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 800, most_cle
     """doc_id, held_out, score (0 to 1), predicted (1 from `threshold` on) for every document.
 
     Learns from at most most_toxic and most_clean documents of the labels outside the held-out fold. Without labelled
-    documents of both labels every score is the known label's share. An empty table gives no rows.
+    documents of both labels every score is the known label's share. A text's score depends on that text alone; null texts
+    score as empty ones, repeated rows alike. Texts of over a megabyte are read in runs of whole words. Other columns are
+    ignored, whatever their names. An empty table gives no rows.
     """
     model = fit(*training_documents(docs, labels, most_toxic, most_clean))
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))

@@ -377,12 +377,48 @@ def test_toxicity(spark):
 
 
 def test_kernel_weights_equal_landmark_sums():
-    """The table of weights gives what the kernel against each landmark gives."""
-    a, b = toxicity.features(b"idiot"), toxicity.features(b"i-diot!")
+    """The table of weights gives what the kernel against each landmark gives; marks and single letters hide nothing."""
+    a, b = toxicity.features("idiot"), toxicity.features("idxiot")
     direct = sum(v * b[k] for k, v in a.items())
-    table = np.zeros(toxicity.LETTERS**4, np.float32)
+    table = np.zeros(toxicity.SYMBOLS**4, np.float32)
     for k, v in a.items():
         table[k] = v
-    data = np.frombuffer(b"i-diot!", np.uint8)
-    model = toxicity.ToxicModel(table, 1.0, 0.0)
-    assert model.sentence_scores(data, np.array([0]))[0] == pytest.approx(direct, rel=1e-5)
+    model = toxicity.ToxicModel(table)
+    worst = lambda *t: model.worst(*toxicity._joined(list(t)))
+    assert worst("idxiot")[0, 0] == pytest.approx(direct, rel=1e-5)
+    assert worst("i-d.i.o-t!")[0, 0] == worst("i d i o t")[0, 0] == worst("IDIOT")[0, 0] == pytest.approx(sum(v * v for v in a.values()), rel=1e-5)
+
+
+def test_scores_depend_on_the_text_alone():
+    """Toxicity and language of a text are the same alone and among others, at every border and length."""
+    rng = random.Random(12)
+    said = [*(t or "" for _, t in DOCS), "i", "id", "iot", "idiot", "é", "ß", " ", "", "xyz the", "the", "schön", "界" * 40]
+    rows = [(prose(30) + (" grumbolt snarvik" if i % 3 == 0 else ""), i % 3 == 0) for i in range(90)]
+    model = toxicity.fit([(t, int(x)) for t, x in rows])
+    tongue = language.fit([(t, "a" if x else "b") for t, x in rows], [])
+    alone = [model.worst(*toxicity._joined([t]))[0] for t in said]
+    logits = [tongue.logits(*language._joined([t]))[0] for t in said]
+    for _ in range(20):
+        order = rng.sample(range(len(said)), len(said))
+        batch = [said[i] for i in order]
+        assert (model.worst(*toxicity._joined(batch)) == np.array([alone[i] for i in order])).all()
+        assert (tongue.logits(*language._joined(batch), block=1 << 16) == np.array([logits[i] for i in order])).all()
+
+
+def test_very_long_texts_are_read_in_runs():
+    text = (prose(200) + " ") * 1500 + "grumbolt snarvik grumbolt"
+    rows = [(prose(30) + (" grumbolt snarvik" if i % 3 == 0 else ""), i % 3 == 0) for i in range(90)]
+    model = toxicity.fit([(t, int(x)) for t, x in rows])
+    assert len(text) > 2 << 20
+    long, short = (model.score(*toxicity._joined([t]))[0] for t in (text, text[:-26]))
+    assert long >= 0.7 > short
+    tongue = language.fit([(t, "a" if x else "b") for t, x in rows], [])
+    data, offsets = language._joined(["ab", text, "cd"])
+    assert np.allclose(tongue.logits(data, offsets, block=1000), tongue.logits(data, offsets, block=1 << 30), atol=1e-4)
+
+
+def test_toxicity_of_empty_tables_and_odd_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5.0, "x"), (2, None, 1.0, "y"), (2, None, 1.0, "y")], "doc_id long, text string, score double, toxic string")
+    none = spark.createDataFrame([], "doc_id long, toxic int, text string")
+    assert {r["predicted"] for r in toxicity.toxicity(docs, none).collect()} == {0} and toxicity.toxicity(docs.where("false"), none).count() == 0
+    assert toxicity.without_toxic(docs, none).columns == docs.columns and language.languages(docs.where("false").withColumn("lang", F.lit("en"))).count() == 0
