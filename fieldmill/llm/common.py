@@ -12,11 +12,17 @@ from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset, a session on one machine
+    gets a temporary one; on a cluster that is an error, as executors would each write to a disk of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = set_dir.get() if set_dir.isDefined() else f"file://{tempfile.mkdtemp(prefix='staged-')}"
+        if set_dir.isDefined():
+            folder = set_dir.get()
+        elif spark.sparkContext._jsc.sc().isLocal():
+            folder = f"file://{tempfile.mkdtemp(prefix='staged-')}"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 

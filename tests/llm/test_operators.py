@@ -117,12 +117,46 @@ def test_line_dedup(docs, empty):
     assert got[DOCS[14][0]]["text"] is None and lines.dedup_lines(empty).count() == 0
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_line_dedup_verifies_characters(spark):
     said = ["Subscribe to our newsletter", "Subscribe to our newsleter", "Subscribe to our competitor"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "doc_id long, text string")
-    first = df.select(F.col("doc_id").alias("id"), "doc_id", F.xxhash64("doc_id", "text").alias("row"), F.lit(0).alias("line"))
-    pairs = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
-    assert {(r["a"], r["b"]) for r in lines._similar(df, pairs, first, 0.8).collect()} == {(0, 1)}
+    got = by_id(lines.dedup_lines(spark.createDataFrame([(i, t) for i, t in enumerate(said)], "doc_id long, text string")))
+    assert [got[i]["n_removed"] for i in range(3)] == [0, 1, 0]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 126, 127, 128, 400, 40_000])
+def test_simhash_counts_every_word_once(spark, n):
+    words = [f"w{k % max(1, n - n // 10)}x" for k in range(n)]
+    df = spark.createDataFrame([(words,)], "words array<string>")
+    got = df.select(lines.simhash(F.col("words")).alias("s"), F.transform(F.array_distinct("words"), lambda w: F.xxhash64(w)).alias("h")).first()
+    want = sum((sum(h >> j & 1 for h in got["h"]) * 2 > len(got["h"])) << j for j in range(64))
+    assert got["s"] & (1 << 64) - 1 == want
+
+
+def test_line_dedup_in_large_groups(spark):
+    """Seventy unlike lines around one common passage stay; near copies of one line go, however many."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    passage = [word() for _ in range(14)]
+    said = [" ".join([word() for _ in range(8)] + passage + [word() for _ in range(8)]) for _ in range(70)]
+    base = [word() for _ in range(25)]
+    near = []
+    for _ in range(70):
+        w = list(base)
+        for at in rng.sample(range(25), 2):
+            w[at] = word()
+        near.append(" ".join(w))
+    got = by_id(lines.dedup_lines(spark.createDataFrame([(i, t) for i, t in enumerate(said + near)], "doc_id long, text string")))
+    assert sum(got[i]["n_removed"] for i in range(70)) == 0
+    assert sum(got[i]["n_removed"] for i in range(70, 140)) == 69
 
 
 def test_line_dedup_of_few_long_words(spark):
@@ -151,10 +185,34 @@ def test_line_dedup_recall_of_changed_words(spark):
     assert sum(got[2 * i + 1]["n_removed"] for i in range(len(said))) == len(said)
 
 
-def test_line_similarity_counts_word_edits(spark):
-    row = spark.createDataFrame([("a b c d e f g h i j", "a b x d e f g h i j"), ("a b", "a b c")], "x string, y string")
-    d = row.select(F.levenshtein(lines.spelled(F.split("x", " ")), lines.spelled(F.split("y", " "))).alias("d"))
-    assert [r["d"] for r in d.collect()] == [1, 1]
+def test_line_dedup_recall_against_force(spark):
+    """Of pairs of lines with 0.8 to 0.95 of their characters alike, by changed, added and removed words and letters, nine of ten go at least; unlike pairs stay."""
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10)))
+    pairs = []
+    for n in (6, 10, 20, 35, 70):
+        for share in (0.05, 0.1, 0.15, 0.2, 0.4):
+            for _ in range(12):
+                w = [word() for _ in range(n)]
+                v = list(w)
+                for at in sorted(rng.sample(range(n), max(1, round(n * share))), reverse=True):
+                    what = rng.randrange(4)
+                    if what == 0:
+                        v[at] = word()
+                    elif what == 1:
+                        v.insert(at, word())
+                    elif what == 2 and len(v) > 3:
+                        del v[at]
+                    else:
+                        v[at] = v[at][:-1] + rng.choice("éxq")
+                pairs.append((" ".join(w), " ".join(v)))
+    alike = [1 - edit_distance(a, b) / max(len(a), len(b)) for a, b in pairs]
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    got = by_id(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    gone = [got[2 * i + 1]["n_removed"] for i in range(len(pairs))]
+    assert all(not g for g, s in zip(gone, alike) if s < 0.8 - 1e-9)
+    found = [g for g, s in zip(gone, alike) if s >= 0.8]
+    assert len(found) > 150 and sum(found) >= 0.95 * len(found), (sum(found), len(found))
 
 
 def test_quality_counts(spark, docs, empty):
