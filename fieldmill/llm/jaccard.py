@@ -6,8 +6,9 @@ lists: two sets that link share a known least number among so many of those (pre
 
 Each list has a leader, the set of which the largest part is found in lists: where sets derive from one, it is
 that one. A set is first compared with the leader it meets in most lists; groups found so are settled. What is left are pairs of unlike groups within one list.
-They are found list by list, in blocks by size that skip where size or position rules a link out,
-and skipped where the answer of the leader tells the answer of its members: the overlap of x with y is at most that of the leader with y plus what x has beyond the leader. Every other pair is verified.
+They are found list by list, in blocks by size that skip where size or position rules a link out. Where both were compared with
+one leader, their answer is derived from its answers: they share at most what either shares with the leader, and
+beyond it at most what either has in common with any other set of that leader. Only pairs that this leaves open are verified.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import mixed, shingle_sets, text_pieces
-from .common import connected, staged, texts
+from .common import connected, drop_staged, staged, texts
 
 CELLS = 1 << 20
 SLICES = 16
@@ -157,31 +158,47 @@ PAIR_TYPE = "a long, b long, shared long, na int, nb int"
 
 def _cross_pairs(percent: int, block: int = 256):
     """Pairs of one list and unlike groups that size, position and the leaders' answers leave open."""
+    def open_pairs(n, at, comp, near, beyond, chief, same_chief):
+        """(i, j) of rows sorted by n; near, beyond: what is shared with the chief, and what is shared with others beyond it."""
+        for lo in range(0, len(n), block):
+            hi = min(len(n), lo + block)
+            for low in range(lo, len(n), block):
+                top = min(len(n), low + block)
+                if 100 * n[hi - 1] < percent * n[low]:  # the rest of the list is too large for all of this block
+                    break
+                i, j = np.arange(lo, hi)[:, None], np.arange(low, top)[None, :]
+                need = required(n[i], n[j], percent)
+                room = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
+                # linked sets share `few` tokens within so many first ones of either
+                few = np.minimum(1 + np.minimum(n[i], n[j]) // 25, need - np.maximum(-(-percent * n[i] // 100), -(-percent * n[j] // 100)) + 1)
+                early = (at[i] < n[i] - need + few) & (at[j] < n[j] - need + few)
+                left = early & (i < j) & (comp[i] != comp[j]) & (room >= need)
+                if same_chief:
+                    left &= np.minimum(near[i], near[j]) + np.minimum(beyond[i], beyond[j]) >= need
+                else:
+                    left &= (chief[i] != chief[j]) | (chief[i] < 0)
+                i, j = np.nonzero(left)
+                yield lo + i, low + j
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["token", "n", "doc"], kind="stable")
         cuts = np.flatnonzero(np.diff(frame["token"].to_numpy(), prepend=frame["token"].iloc[0] - 1))
-        doc, n, at, comp, near, chief = (frame[c].to_numpy() for c in ("doc", "n", "at", "component", "overlap", "chief"))
+        doc, *columns = (frame[c].to_numpy() for c in ("doc", "n", "at", "component", "overlap", "beyond", "chief"))
+        n, _, _, near, beyond, chief = columns
+        # a set that falls short of its own share links with no other set of its chief
+        alive = 100 * (near + beyond) >= percent * n
         found = []
         for a, z in zip(cuts, [*cuts[1:], len(doc)]):
-            for lo in range(a, z, block):
-                hi = min(z, lo + block)
-                for low in range(lo, z, block):
-                    top = min(z, low + block)
-                    if 100 * n[hi - 1] < percent * n[low]:  # the rest of the list is too large for all of this block
-                        break
-                    i, j = np.arange(lo, hi)[:, None], np.arange(low, top)[None, :]
-                    need = required(n[i], n[j], percent)
-                    room = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
-                    # linked sets share `few` tokens within so many first ones of either
-                    few = np.minimum(1 + np.minimum(n[i], n[j]) // 25, need - np.maximum(-(-percent * n[i] // 100), -(-percent * n[j] // 100)) + 1)
-                    early = (at[i] < n[i] - need + few) & (at[j] < n[j] - need + few)
-                    open_ = early & (i < j) & (comp[i] != comp[j]) & (room >= need)
-                    # both were compared with one chief: overlap(x, y) <= overlap(chief, y) + |x - chief|
-                    told = (chief[i] == chief[j]) & (near[i] >= 0) & (near[j] >= 0)
-                    most = np.minimum(near[j] + n[i] - near[i], near[i] + n[j] - near[j])
-                    i, j = np.nonzero(open_ & ~(told & (most < need)))
+            own = np.arange(a, z)
+            groups = np.unique(chief[own])
+            parts = [(own[(chief[own] == g) & alive[own]], True) for g in groups if g >= 0]
+            if len(groups) > 1 or groups[0] < 0:
+                parts.append((own, False))
+            for rows, same_chief in parts:
+                for i, j in open_pairs(*(c[rows] for c in columns), same_chief):
                     if len(i):
-                        found.append(np.column_stack([doc[lo + i], doc[low + j], n[lo + i], n[low + j]]))
+                        i, j = rows[i], rows[j]
+                        found.append(np.column_stack([doc[i], doc[j], n[i], n[j]]))
         if not found:
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("a", "b", "shared", "na", "nb")})
         p = np.concatenate(found)
@@ -193,56 +210,79 @@ def _cross_pairs(percent: int, block: int = 256):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, salts: int = 64, most_sent: int = 4_000_000, per_part: int = 2000) -> DataFrame:
-    """(a, b, overlap) of pairs (a, b), exactly: sets travel once to each group of pairs of one `a`.
+def verified(docs: DataFrame, pairs: DataFrame, size: int, salts: int = 64, most_sent: int = 2_000_000, per_part: int = 2000) -> DataFrame:
+    """(a, b, overlap, beyond) of pairs (a, b, hub), exactly: sets travel once to each group of pairs of one `a`; staged.
 
     `pairs` must be staged. The members of an `a` are spread over `salts` groups, so a set that leads a third
-    of all sets holds up no task.
+    of all sets holds up no task. `beyond` has b's elements that a lacks, where `hub` is set. Ids of the sets wanted
+    are sent to all tasks up to most_sent of them, eight bytes each.
     """
-    spark = docs.sparkSession
     salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")
-    member = pairs.select(F.col("b").alias("doc"), F.col("a").alias("lead"), salt.alias("salt"), F.lit(False).alias("leads"))
-    leads = pairs.select(F.col("a").alias("doc"), F.col("a").alias("lead"), salt.alias("salt"), F.lit(True).alias("leads")).distinct()
+    member = pairs.select(F.col("b").alias("doc"), F.col("a").alias("lead"), salt.alias("salt"), F.lit(False).alias("leads"), "hub")
+    leads = pairs.select(F.col("a").alias("doc"), F.col("a").alias("lead"), salt.alias("salt"), F.lit(True).alias("leads"), F.lit(False).alias("hub")).distinct()
     wanted = staged(member.union(leads), "wanted")
-    some = wanted.select("doc").distinct()
-    if some.count() <= most_sent:  # few enough ids to send: only their texts leave the scan
-        ids = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in some.collect()], np.int64)))
-    else:
-        ids, docs = None, docs.join(some.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
+    some = staged(wanted.select(F.col("doc").alias("doc_id")).distinct(), "some")
+    small = some.count() <= most_sent  # few enough ids to send: only their texts leave the scan
+    chosen = docs.join(F.broadcast(some) if small else some, "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if ids is not None:
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                at = np.minimum(np.searchsorted(ids.value, own), max(0, len(ids.value) - 1))
-                batch = batch.filter(pa.array(ids.value[at] == own if len(ids.value) else np.zeros(len(own), bool)))
             blobs = [s.astype("<u8").tobytes() for _, _, data, offsets in text_pieces(batch.column(1)) for s in shingle_sets(data, offsets, size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["doc", "tokens"])
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        leads, heads = frame["lead"].to_numpy(), frame["leads"].to_numpy()
+        leads, heads, hubs = (frame[c].to_numpy() for c in ("lead", "leads", "hub"))
         sets = [np.frombuffer(t, "<u8") for t in frame["tokens"]]
         base = {leads[i]: sets[i] for i in np.flatnonzero(heads)}
         out = []
         for i in np.flatnonzero(~heads):
             if (lead := base.get(leads[i])) is not None:
                 at = np.minimum(np.searchsorted(lead, sets[i]), len(lead) - 1)
-                out.append((leads[i], frame["doc"].iat[i], int((lead[at] == sets[i]).sum())))
-        return pd.DataFrame(out, columns=["a", "b", "overlap"]).astype("int64")
+                same = lead[at] == sets[i]
+                out.append((leads[i], frame["doc"].iat[i], int(same.sum()), sets[i][~same].tobytes() if hubs[i] else None))
+        return pd.DataFrame(out, columns=["a", "b", "overlap", "beyond"]).astype({"a": "int64", "b": "int64", "overlap": "int64"})
 
-    held = texts(docs).where("doc_id is not null").mapInArrow(sets, "doc long, tokens binary").dropDuplicates(["doc"])
+    held = texts(chosen).mapInArrow(sets, "doc long, tokens binary").dropDuplicates(["doc"])
     parts = max(8, -(-wanted.count() // per_part))
-    sent = held.join(wanted, "doc").select("doc", "tokens", "lead", "leads", F.pmod(F.xxhash64("lead", "salt"), F.lit(parts)).alias("part"))
-    return sent.groupBy("part").applyInPandas(compare, "a long, b long, overlap long")
-
-
-def components(docs: DataFrame, size: int = 5, percent: int = 80, per_bucket: int = 1_000_000) -> DataFrame:
+    sent = held.join(wanted, "doc").select("doc", "tokens", "lead", "leads", "hub", F.pmod(F.xxhash64("lead", "salt"), F.lit(parts)).alias("part"))
+    out = staged(sent.groupBy("part").applyInPandas(compare, "a long, b long, overlap long, beyond binary"), "answers")
+    for table in (wanted, some):
+        drop_staged(table)
+    return out
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chief, doc, token) for each element that a set has beyond its chief."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            some = batch.slice(at, 2000)
+            tokens = [np.frombuffer(b, "<i8") for b in some.column(2).to_pylist()]
+            sizes = np.array([len(t) for t in tokens])
+            columns = [np.repeat(some.column(k).to_numpy(), sizes) for k in (0, 1)] + [np.concatenate(tokens)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["chief", "doc", "token"])
+
+
+def answers_of_chiefs(answers: DataFrame, sized: DataFrame) -> DataFrame:
+    """(doc, chief, overlap, beyond): for each set that was compared with a chief, and each chief, what it shares with the chief, and how much
+    beyond the chief it can share with another set of the same chief: what any other has too, known for large groups."""
+    own = answers.select(F.col("a").alias("doc")).distinct().join(answers.select(F.col("b").alias("doc")), "doc", "left_anti")
+    chiefs = own.join(sized, F.col("doc") == F.col("id")).select("doc", F.col("doc").alias("chief"), F.col("size").alias("overlap"), F.lit(0).cast("long").alias("beyond"))
+    each = answers.where("beyond is not null").select(F.col("a").alias("chief"), F.col("b").alias("doc"), "beyond").mapInArrow(_apart, "chief long, doc long, token long")
+    common = each.groupBy("chief", "token").agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    alike = each.join(common, ["chief", "token"]).groupBy("doc").agg(F.count("*").alias("alike"))
+    told = answers.join(alike, F.col("b") == F.col("doc"), "left").join(sized, F.col("b") == F.col("id"))
+    beyond = F.when(F.col("beyond").isNull(), F.col("size") - F.col("overlap")).otherwise(F.coalesce("alike", F.lit(0))).cast("long")
+    return told.select(F.col("b").alias("doc"), F.col("a").alias("chief"), "overlap", beyond.alias("beyond")).union(chiefs)
+
+
+def components(docs: DataFrame, size: int = 5, percent: int = 80, per_bucket: int = 1_000_000, hub: int = 64) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of every document.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of distinct word
     shingles (A-Z lower-cased). A document of fewer words has one shingle of all its words; null, empty and
     wordless texts have none and link with nothing, as do rows with a null id. Rows that repeat an id are told
-    apart only by their sets: each keeps its own size, and they share a component. Other columns are ignored.
+    apart only by their sets: each keeps its own size, and they share a component. Texts are read whole, however
+    long. Other columns are ignored; an empty table gives no rows. Groups of over `hub` sets that met one chief have their answers derived from its.
     """
     spark = docs.sparkSession
     slim = texts(docs)
@@ -265,28 +305,35 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, per_bucket: in
     leads = lists.join(listed, "doc").groupBy("token").agg(F.max(rank).alias("top")).select("token", "top.leader")
     met = lists.join(leads, "token").where("doc <> leader").groupBy("doc", "leader").agg(F.count("*").alias("times"), F.first("n").alias("n"))
     best = met.groupBy("doc").agg(F.max(F.struct("times", F.col("leader").alias("lead"), "n")).alias("x")).where(F.col("x.times") * 16 >= F.col("x.n"))
-    tried = staged(best.select(F.col("x.lead").alias("a"), F.col("doc").alias("b")), "tried")
-    answers = staged(verified(docs, tried, size), "answers")
+    tried = best.select(F.col("x.lead").alias("a"), F.col("doc").alias("b"))
+    many = tried.groupBy("a").agg((F.count("*") > hub).alias("hub"))
+    tried = staged(tried.join(many, "a"), "tried")
+    answers = verified(slim, tried, size)
     sized = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("size"))
     linked = _linked(answers, sized, percent)
     settled = connected(linked)
 
     # pairs of unlike groups that some list holds
-    known = answers.groupBy(F.col("b").alias("doc")).agg(F.first("a").alias("chief"), F.first("overlap").alias("overlap"))
+    known = answers_of_chiefs(answers, sized)
     told = lists.join(settled.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed_lists = told.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     open_lists = told.join(mixed_lists, "token", "left_semi").join(known, "doc", "left")
-    open_lists = open_lists.select("token", "doc", "n", "at", "component", F.coalesce("overlap", F.lit(-1)).alias("overlap"), F.coalesce("chief", F.lit(-1)).alias("chief"), F.pmod(F.xxhash64("token"), F.lit(max(buckets, 8))).alias("part"))
+    open_lists = open_lists.select("token", "doc", "n", "at", "component", F.coalesce("overlap", F.lit(0)).alias("overlap"), F.coalesce("beyond", "n").cast("long").alias("beyond"), F.coalesce("chief", F.lit(-1)).alias("chief"), F.pmod(F.xxhash64("token"), F.lit(max(buckets, 8))).alias("part"))
     pairs = open_lists.groupBy("part").applyInPandas(_cross_pairs(percent), PAIR_TYPE)
     counted = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     most = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent)) - F.greatest(*(F.ceil(F.col(c) * percent / 100) - 1 for c in ("na", "nb")))
     need = F.least(1 + F.floor(F.least("na", "nb") / 25), most)
-    checked = staged(counted.where(F.col("shared") >= need).select("a", "b"), "checked")
-    more = _linked(verified(docs, checked, size), sized, percent)
+    checked = staged(counted.where(F.col("shared") >= need).select("a", "b", F.lit(False).alias("hub")), "checked")
+    late = verified(slim, checked, size)
+    more = _linked(late, sized, percent)
     whole = connected(linked.union(more))
 
     alike = classes.join(whole, F.col("rep") == F.col("node"), "left").select("n", "fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
-    return sets.join(alike, ["n", "fp1", "fp2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sets.join(alike, ["n", "fp1", "fp2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = staged(out, "components")
+    for table in (prints, classes, lists, tried, answers, linked, settled, checked, late, more, whole):
+        drop_staged(table)
+    return out
 
 
 def _linked(answers: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
@@ -294,7 +341,7 @@ def _linked(answers: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     return staged(with_sizes.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"), "links")
 
 
-def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, most_sent: int = 4_000_000) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, most_sent: int = 2_000_000) -> DataFrame:
     """The documents whose id is the least of their group, with all their columns."""
     groups = components(docs, size, percent)
     gone = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")

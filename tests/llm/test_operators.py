@@ -334,6 +334,25 @@ def test_jaccard_of_a_dense_group(spark):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == components_by_force(rows)
 
 
+def test_jaccard_around_a_hub(spark):
+    """Variants of one text, most just under the limit from each other, some variants of variants: derived answers lose no link."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(110)]
+    rows, twigs = [(0, " ".join(base))], []
+    for i in range(1, 160):
+        w = list(rng.choice(twigs) if twigs and rng.random() < 0.3 else base)
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        if rng.random() < 0.2:
+            twigs.append(w)
+        rows.append((i, " ".join(w)))
+    want = components_by_force(rows)
+    for hub in (1, 20, 10**6):
+        got = by_id(jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), hub=hub))
+        assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+    assert len(set(want.values())) > 20
+
+
 @pytest.mark.parametrize("copies,passages", [(1, 0), (30, 0), (1, 6)])
 def test_jaccard_of_texts_that_hold_others(spark, copies, passages):
     """Pairs of a text of 80 shingles and the same with words added, alike by 0.80 to 0.92 or just less; the shorter one alone, copied, or quoted in long texts."""
