@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,10 +43,21 @@ def binomial(n: Column, k: Column, most: int = 3) -> Column:
     return out
 
 
-def bernstein(degree: Column, index: Column, x: Column) -> Column:
-    """Basis polynomial of a degree of at most 3; x is clamped to [0, 1]."""
-    x = F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    return binomial(degree, index) * F.pow(x, index.cast("double")) * F.pow(1.0 - x, (degree - index).cast("double"))
+def bernstein_row(degree: Column, t: Column, most: int = 3) -> Column:
+    """All basis polynomials of a degree of at most 3 as an array; t must lie in [0, 1]."""
+    def power(x: Column, n: int) -> Column:
+        return reduce(lambda a, b: a * b, [x] * n)
+
+    out = None
+    for p in range(most + 1):
+        terms = []
+        for i in range(p + 1):
+            factors = [F.lit(float(math.comb(p, i)))] if 0 < i < p else []
+            factors += ([power(t, i)] if i else []) + ([power(1.0 - t, p - i)] if i < p else [])
+            terms.append(reduce(lambda a, b: a * b, factors) if factors else F.lit(1.0))
+        row = F.array(*terms)
+        out = F.when(degree == p, row) if out is None else out.when(degree == p, row)
+    return out
 
 
 def cell_of(x: Column, n: Column | int) -> Column:

@@ -18,17 +18,17 @@ from .tree import ancestors, top_leaves
 MAGIC = b"ACTLEAF1"
 
 
-def _path(roots: int):
+def _path(roots: int, deepest: int = 16):
     """Number of a node within its level: the root's place, then one octant for each step down.
 
-    Octant bits come from the coordinates: at depth d below the root, bit (level - d) of each of them.
+    Bit k of the coordinates, for each k below the level, makes the octant k steps above the node.
     """
     root = [F.expr(f"shiftright({c}, cast(level as int))") for c in KEY[1:]]
-    out = (root[0] * roots + root[1]) * roots + root[2]
-    for d in range(1, 17):
-        bit = [F.expr(f"shiftright({c}, greatest(cast(level as int) - {d}, 0)) % 2") for c in KEY[1:]]
-        out = F.when(F.col("level") >= d, out * 8 + bit[0] * 4 + bit[1] * 2 + bit[2]).otherwise(out)
-    return out.cast("long")
+    out = F.call_function("shiftleft", (root[0] * roots + root[1]) * roots + root[2], (3 * F.col("level")).cast("int"))
+    for k in range(deepest):
+        bit = [F.shiftright(c, k).bitwiseAND(F.lit(1).cast("long")) for c in KEY[1:]]
+        out = out + F.when(F.col("level") > k, F.shiftleft(bit[0] * 4 + bit[1] * 2 + bit[2], 3 * k)).otherwise(F.lit(0).cast("long"))
+    return out
 
 
 def packed_nodes(leaves: DataFrame, roots: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bernstein, cell_of, inside_box
+from ..functions.scalars import bernstein_row, cell_of, inside_box
 
 KEY = ["level", "ix", "iy", "iz"]
 #: Leaves that may be sent to every executor: about 100 MB of keys and coefficients at most.
@@ -48,15 +48,16 @@ def local(axis: str, levels: Sequence[int], at: str | None = None):
 def terms(located: DataFrame, levels: Sequence[int], coeffs: str = "coeffs") -> DataFrame:
     """One row per point and coefficient, with the basis value; sums of c * basis give the field.
 
-    Coefficients are exploded and multiplied as plain columns, which stays inside generated code.
+    The basis of each axis is worked out once per point; coefficients are then exploded and multiplied as plain
+    columns, in generated code small enough to be compiled.
     """
-    rows = located.select("*", F.posexplode(coeffs).alias("_k", "c")).drop(coeffs)
-    k, py, pz = F.col("_k").cast("long"), F.col("py"), F.col("pz")
-    kz = k % (pz + 1)
-    ky = F.expr("cast(_k as bigint) div (pz + 1)") % (py + 1)
-    kx = F.expr("cast(_k as bigint) div ((pz + 1) * (py + 1))")
-    basis = bernstein(F.col("px"), kx, local("x", levels)) * bernstein(F.col("py"), ky, local("y", levels)) * bernstein(F.col("pz"), kz, local("z", levels))
-    return rows.withColumn("basis", F.when((F.col("px") == 0) & (F.col("py") == 0) & (F.col("pz") == 0), 1.0).otherwise(basis)).withColumn("coefficient", k).drop("_k")
+    placed = located.withColumns({f"_t{a}": F.least(F.greatest(local(a, levels), F.lit(0.0)), F.lit(1.0)) for a in "xyz"})
+    based = placed.withColumns({f"_b{a}": bernstein_row(F.col(f"p{a}"), F.col(f"_t{a}")) for a in "xyz"}).drop("_tx", "_ty", "_tz")
+    rows = based.select("*", F.posexplode(coeffs).alias("_k", "c")).drop(coeffs)
+    k = F.col("_k").cast("long")
+    spot = {"x": F.expr("cast(_k div ((pz + 1) * (py + 1)) as int)"), "y": F.expr("cast((_k div (pz + 1)) % (py + 1) as int)"), "z": F.expr("cast(_k % (pz + 1) as int)")}
+    basis = F.get("_bx", spot["x"]) * F.get("_by", spot["y"]) * F.get("_bz", spot["z"])
+    return rows.withColumn("basis", basis).withColumn("coefficient", k).drop("_k", "_bx", "_by", "_bz")
 
 
 def evaluate(points: DataFrame, leaves: DataFrame, levels: Sequence[int], key: list[str]) -> DataFrame:

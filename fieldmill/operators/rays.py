@@ -47,9 +47,19 @@ def gauss_table(spark, most: int = 5) -> DataFrame:
     return spark.createDataFrame(rows, "rule long, gx double, gw double")
 
 
+def spread(ways: DataFrame, size: int, views: int, finest: int, per_part: int = 1_000_000) -> DataFrame:
+    """Rays dealt out by their key for the pieces they will be cut into, as small as their own rows are.
+
+    All that follows for a ray stays in its partition: facts need no further exchange.
+    """
+    pieces = views * size * size * 2 * finest
+    cores = ways.sparkSession.sparkContext.defaultParallelism
+    return ways.repartition(min(100_000, max(cores, pieces // per_part)), *RAY)
+
+
 def ray_terms(rays: DataFrame, leaves: DataFrame, levels: Sequence[int], size: int, views: int) -> DataFrame:
     """Quadrature terms of distinct rays: ray key, leaf key, coefficient, c, w = weight * half * basis."""
-    ways = with_geometry(rays.select(*RAY).distinct(), size, views)
+    ways = with_geometry(spread(rays.select(*RAY).distinct(), size, views, levels[-1]), size, views)
     cut = segments(ways, levels[-1])
     mid = 0.5 * (F.col("s0") + F.col("s1"))
     found = locate(cut.withColumns({"x": F.col("bx") + F.col("dx") * mid, "y": F.col("by") + F.col("dy") * mid}), leaves, levels)
@@ -74,7 +84,7 @@ def predictions(rays: DataFrame, facts: DataFrame) -> DataFrame:
 
 def sampled_predictions(rays: DataFrame, leaves: DataFrame, levels: Sequence[int], size: int, views: int, samples: int) -> DataFrame:
     """Distinct rays integrated by midpoint samples instead."""
-    ways = with_geometry(rays.select(*RAY).distinct(), size, views).where("t1 > t0").withColumn("h", (F.col("t1") - F.col("t0")) / samples)
+    ways = with_geometry(spread(rays.select(*RAY).distinct(), size, views, samples // 2), size, views).where("t1 > t0").withColumn("h", (F.col("t1") - F.col("t0")) / samples)
     at = ways.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     t = F.col("t0") + (F.col("i") + 0.5) * F.col("h")
     spots = at.withColumns({"x": F.col("bx") + F.col("dx") * t, "y": F.col("by") + F.col("dy") * t})
