@@ -55,12 +55,15 @@ LAYOUTS = (
 
 
 def field_paths(record: Column) -> Column:
-    """Sorted nested field paths of a JSON object: top-level names, or name[].field for lists of objects."""
-    fields = F.from_json(record, "map<string,string>")
+    """Sorted nested field paths of a JSON object: top-level names, or name[].field for lists of objects.
+
+    Values keep their kind, so a string that itself reads as a list is a string.
+    """
+    fields = F.try_variant_get(F.try_parse_json(record), "$", "map<string,variant>")
 
     def inside(name: Column, value: Column) -> Column:
-        names = F.flatten(F.transform(F.from_json(value, "array<map<string,string>>"), F.map_keys))
-        found = F.when(F.substring(value, 1, 1) == "[", F.transform(F.array_distinct(names), lambda f: F.concat(name, F.lit("[]."), f)))
+        names = F.flatten(F.transform(F.try_variant_get(value, "$", "array<map<string,variant>>"), F.map_keys))
+        found = F.transform(F.array_distinct(names), lambda f: F.concat(name, F.lit("[]."), f))
         return F.when(F.size(found) > 0, found).otherwise(F.array(name))
 
     return F.array_sort(F.flatten(F.transform(F.map_entries(fields), lambda e: inside(e["key"], e["value"]))))
@@ -114,7 +117,8 @@ def format_chats(records: DataFrame, id_col: str, record_col: str, layouts: tupl
     loss_spans holds (start, length) in code points of the formatted text, 0-based, one for each text of
     role `learn_from`, in order. A record that is null, no JSON object, or of an unknown layout keeps
     its row with null turns, formatted text and spans. A record without turns formats to an empty text.
-    Null roles and texts inside a record count as empty. Other columns of the table are ignored.
+    Null roles and texts inside a record count as empty. Texts are kept whole, however long; repeated rows give repeated
+    rows; an empty table gives none. Other columns of the table are ignored.
     """
     read = records.select(F.col(id_col).alias("conv_id"), F.col(record_col).cast("string").alias("_record"))
     read = read.withColumn("layout", fingerprint(F.col("_record")))

@@ -3,7 +3,7 @@
 What is planned is not documents but lengths: there are at most `capacity` of them, so the plan
 (how many sequences hold which lengths) is as large for a hundred terabytes as for a megabyte. The plan
 begins as best fit with lengths falling, then local search moves one piece, exchanges one for one or
-two for one between underfull sequences whenever that increases the sum of squared fills, which empties
+two for one between underfull sequences as long as that increases the sum of squared fills, which empties
 the emptier ones. Pieces then take their places from their rank among the pieces of their length.
 """
 
@@ -126,21 +126,23 @@ def _exchange(donor: tuple[int, ...], taker: tuple[int, ...], capacity: int) ->
     return best
 
 
-def local_search(plan: Counter, capacity: int, most_moves: int = 5_000, donors: int = 40) -> Counter:
+def local_search(plan: Counter, capacity: int) -> Counter:
     """Raise the sum of squared fills by exchanges from the emptiest sequences; emptied ones go.
 
-    Only the `donors` emptiest kinds of sequence give pieces away. Ends when no exchange helps, when sequences are as few as the total length allows, or after most_moves.
+    Ends when no exchange between any two underfull kinds of sequence helps, or when sequences are as few as the total
+    length allows. Two kinds that had no exchange have none later, so no two are tried twice; every exchange raises
+    the squared fill, so the search ends.
     """
     plan = Counter(plan)
     total = sum(sum(p) * m for p, m in plan.items())
-    fewest = -(-total // capacity)
-    for _ in range(most_moves):
-        if sum(plan.values()) <= fewest:
-            break
+    fewest, barren = -(-total // capacity), set()
+    while sum(plan.values()) > fewest:
         under = sorted((p for p in plan if sum(p) < capacity), key=lambda p: (sum(p), p))
-        for donor, taker in ((d, t) for i, d in enumerate(under[:donors]) for t in reversed(under[i:]) if d != t or plan[d] > 1):
+        pairs = ((d, t) for i, d in enumerate(under) for t in reversed(under[i:]) if (d, t) not in barren and (d != t or plan[d] > 1))
+        for donor, taker in pairs:
             if found := _exchange(donor, taker, capacity):
                 break
+            barren.add((donor, taker))
         else:
             break
         give, take = (Counter(x) for x in found)
@@ -171,7 +173,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024
     """Pack all documents: one row per piece with its sequence and its place there.
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they occur. An empty
-    table gives no rows. Extra columns are ignored.
+    table gives no rows. Extra columns are ignored, whatever their names. Texts are encoded whole, however long.
     """
     pieces = staged(cut_pieces(docs, vocabulary, end_id, capacity), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}

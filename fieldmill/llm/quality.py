@@ -1,10 +1,10 @@
 """Quality rules whose cutoffs come with a guarantee on good documents.
 
 For each stratum and rule, a fixed ladder of cutoffs is walked from lenient to strict. A cutoff is
-certified if, were it to reject a share `risk` of the stratum's good documents or more, seeing as few
+certified if, were it to reject a share `risk` / rules of the stratum's good documents or more, seeing as few
 rejections among the labelled good ones as were seen would have an exact binomial probability of at
 most `error` / (strata * rules). The walk stops at the first cutoff that isn't certified (fixed-sequence
-testing), so with probability 1 - error no rule in any stratum rejects more than `risk` of good documents.
+testing), so with probability 1 - error all rules together reject at most `risk` of the good documents of any stratum.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def binomial_tail(hits: Column, trials: Column, risk: float) -> Column:
     return F.when(hits >= trials, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.aggregate(terms, start, step, lambda s: s["sum"])))
 
 
-def certified_cutoffs(labelled: DataFrame, stratum: str, good: Column, rules: tuple[Rule, ...] = RULES, risk: float = 0.02, error: float = 0.05) -> DataFrame:
+def certified_cutoffs(labelled: DataFrame, stratum: str, good: Column, rules: tuple[Rule, ...] = RULES, risk: float = 0.05, error: float = 0.05) -> DataFrame:
     """(stratum, rule, cutoff, trials, hits, tail): the strictest certified cutoff of each stratum and rule.
 
     `labelled` has the measures of held-out documents, one row each; rows that fail the base rules don't count.
@@ -101,8 +101,9 @@ def certified_cutoffs(labelled: DataFrame, stratum: str, good: Column, rules: tu
     counts = [F.count_if(F.expr(r.measure) > c).alias(f"{j}_{i}") for j, r in enumerate(rules) for i, c in enumerate(r.cutoffs)]
     per = held.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("trials"), *counts)
     rungs = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(i).alias("rung"), F.lit(c).alias("cutoff"), F.col(f"{j}_{i}").alias("hits")) for j, r in enumerate(rules) for i, c in enumerate(r.cutoffs)))
-    rows = per.select("stratum", "trials", F.count("*").over(Window.partitionBy(F.lit(0))).alias("strata"), F.explode(rungs).alias("r")).select("stratum", "trials", "strata", "r.*")
-    tested = rows.withColumn("tail", binomial_tail(F.col("hits"), F.col("trials"), risk))
+    number = per.agg(F.count("*").alias("strata"))  # one row
+    rows = per.select("stratum", "trials", F.explode(rungs).alias("r")).select("stratum", "trials", "r.*").crossJoin(F.broadcast(number))
+    tested = rows.withColumn("tail", binomial_tail(F.col("hits"), F.col("trials"), risk / len(rules)))
     passed = F.col("tail") <= error / (F.col("strata") * len(rules))
     walk = Window.partitionBy("stratum", "rule").orderBy("rung").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = tested.withColumn("_ok", F.min(passed.cast("int")).over(walk)).where("_ok = 1")
@@ -110,12 +111,12 @@ def certified_cutoffs(labelled: DataFrame, stratum: str, good: Column, rules: tu
     return best.select("stratum", "rule", "x.*")
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: tuple[Rule, ...] = RULES, risk: float = 0.02, error: float = 0.05, most_strata: int = 2000) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: tuple[Rule, ...] = RULES, risk: float = 0.05, error: float = 0.05, most_strata: int = 2000) -> DataFrame:
     """Every document's counts, whether it fails the base rules, and whether it is kept.
 
     labels: doc_id, quality (1 is good). A stratum or rule without a certified cutoff rejects nothing.
     Documents with a null stratum form one of their own. A null text has no words and fails the base
-    rules. Repeated ids are judged row by row; where labels repeat an id, the lowest label counts.
+    rules. Texts are counted whole, however long; an empty table gives no rows; other columns are ignored. Repeated ids are judged row by row; where labels repeat an id, the lowest label counts.
     Cutoffs are broadcast when the strata number most_strata or fewer, else joined by a shuffle.
     """
     clean = docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))

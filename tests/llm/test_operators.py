@@ -251,7 +251,24 @@ def test_cutoffs_keep_to_the_risk(spark):
     rows = [("en", 100, 500, rng.choice([0] * 97 + [3, 40, 60]), 0, 0, 1) for _ in range(6000)]
     labelled = spark.createDataFrame(rows, "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, quality int")
     cut = {r["rule"]: r for r in quality.certified_cutoffs(labelled, "lang", F.col("quality") == 1).collect()}
-    assert cut["symbols"]["hits"] / cut["symbols"]["trials"] < 0.02 and cut["symbols"]["cutoff"] > 0.3
+    assert cut["symbols"]["hits"] / cut["symbols"]["trials"] < 0.0125 and cut["symbols"]["cutoff"] > 0.3
+
+
+def test_rules_together_keep_to_the_risk(spark):
+    """Enough labels to reject: bad documents go, and of the good ones of each stratum all rules reject the stated risk at most."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(4000):
+        good = i % 4 > 0
+        w = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        if rng.random() < (0.001 if good else 0.8):
+            w = [x + "#|" for x in w]
+        rows.append((i, " ".join(w), "en" if i % 3 else "de"))
+        labels.append((i, int(good)))
+    got = by_id(quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")))
+    for lang in ("en", "de"):
+        kept = {g: [got[i]["kept"] for (i, _, at), (_, x) in zip(rows, labels) if at == lang and x == g] for g in (0, 1)}
+        assert np.mean(kept[1]) >= 0.95 and np.mean(kept[0]) < 0.4
 
 
 def vocabulary():
@@ -381,7 +398,7 @@ def test_chat_layouts_and_round_trip(spark):
         '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":%s}]}' % f'"{nasty}"',
         '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}',
         '{"prompt":"p","response":"r"}', '{"instruction":"do","input":"this","output":"done"}', '{"instruction":"do","input":"","output":"done"}',
-        '{"question":"q?","answer":"a!"}', '{"odd":1}', None, "not json", '{"messages":[]}',
+        '{"question":"q?","answer":"a!"}', '{"odd":1}', None, "not json", '{"messages":[]}', '{"prompt":"[{\\"a\\":1}]","response":"[]"}',
     ]
     df = spark.createDataFrame([(i, r, "x") for i, r in enumerate(records)], "id long, record string, turns string")
     done = chat.format_chats(df, "id", "record")
@@ -392,6 +409,8 @@ def test_chat_layouts_and_round_trip(spark):
     assert said[3] == [("user", "do\n\nthis"), ("assistant", "done")] and said[4] == [("user", "do"), ("assistant", "done")]
     assert said[5] == [("user", "q?"), ("assistant", "a!")]
     assert said[6] is None and said[7] is None and said[8] is None
+    assert said[10] == [("user", '[{"a":1}]'), ("assistant", "[]")]
+    assert chat.format_chats(df.where("false"), "id", "record").count() == 0
     assert got[3]["layout"] == got[4]["layout"] != got[2]["layout"]
 
 
