@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import losses, lookup, sampling, stencil
+from ..operators import candidates, losses, lookup, sampling, stencil
 from . import fixtures as fx
 from . import oracles as o
 from .inspect_queries import predicted, r6
-from .tree_queries import _VOLUME, AXES, _volume
+from .score_queries import _weighted_sql, staged_facts, weighted
+from .tree_queries import _TREE_BANK, _VOLUME, AXES, _tree_bank, _volume
 
 L, N, V, KEY = fx.LEVELS, fx.SIZE, fx.VIEWS, lookup.KEY
 SEED = 7
@@ -89,7 +90,20 @@ def residual_backprojection(spark, sf):
     return losses.backprojected(lookup.dense_grid(spark, N), off, "off", N, V).select(*AXES, r6("score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (detector_subset, uniform_ray_sample, stratified_ray_sample, held_out_split, volume_pools, volume_sample, volume_losses, halo_activation, shared_faces, face_continuity, projection_gradient_loss, residual_backprojection)}
+def candidate_loss_change(spark, sf):
+    _, bank = _tree_bank(spark, sf)
+    made = staged_facts(spark, sf)
+    done = candidates.loss_changes(made, predicted(spark, sf, made), bank, L, N, V)
+    return done.select(*KEY, *((F.round(c, 7) + 0.0).alias(c) for c in ("p0_change", "p1_change")))
+
+
+def region_energy(spark, sf):
+    """What the leaves of the lowest level add to the weighted loss."""
+    made = staged_facts(spark, sf)
+    return candidates.region_energy(made, weighted(spark, sf, made=made), fx.leaves(spark, sf).where("level = 2")).select("n", F.round("energy", 6).alias("energy"))
+
+
+QUERIES = {f.__name__: f for f in (candidate_loss_change, region_energy, detector_subset, uniform_ray_sample, stratified_ray_sample, held_out_split, volume_pools, volume_sample, volume_losses, halo_activation, shared_faces, face_continuity, projection_gradient_loss, residual_backprojection)}
 
 
 def _drawn(number: str, below: str, seed: int) -> str:
@@ -127,7 +141,22 @@ _BACK = f"""WITH {o.PREDICTED}, {o.DENSE}, offs AS (SELECT view_id, row, col, av
 seen AS (SELECT gx, gy, gz, w AS view_id, ((-sin(-(w*pi()/12))*x + cos(-(w*pi()/12))*y + 1)*16-1)/2 AS c, ((z+1)*16-1)/2 AS r FROM dense, range(12) t(w))
 SELECT gx, gy, gz, round(coalesce(sum(greatest(0, 1-abs(r-o.row))*greatest(0, 1-abs(c-o.col))*off), 0)/12, 6) AS score FROM seen s LEFT JOIN offs o ON o.view_id = s.view_id AND o.row BETWEEN floor(r) AND floor(r)+1 AND o.col BETWEEN floor(c) AND floor(c)+1 GROUP BY gx, gy, gz"""
 
+_CELL = {a: f"(-1+c.n{a}*2.0/(4*2**c.nl))" for a in "xyz"}
+_NODE_IN, _NODE_OUT, _ = o.slab(*(f"{_CELL['x']}{e}" for e in ("", "+2.0/(4*2**c.nl)")), *(f"{_CELL['y']}{e}" for e in ("", "+2.0/(4*2**c.nl)")))
+_CORNERS = " + ".join("list_extract(p1, {i})*({both})".format(i=i + 1, both=" + ".join("*".join(f"{a}{k}" if i >> (2 - n) & 1 else f"(1-{a}{k})" for n, a in enumerate("xyz")) for k in (0, 1))) for i in range(8))
+_CHANGES = f"""{_TREE_BANK}, {o.RAYS}, {o.GEOMETRY}, {o.GAUSS}, {o.FACTS}, sums AS (SELECT view_id, row, col, sum(integral) AS prediction FROM facts GROUP BY ALL),
+off AS (SELECT view_id, row, col, count(*) AS n, sum(coalesce(prediction, 0)-target) AS off FROM rays LEFT JOIN sums USING (view_id, row, col) GROUP BY ALL),
+below AS (SELECT view_id, row, col, u AS nl, ix >> (level-u)::INT AS nx, iy >> (level-u)::INT AS ny, iz >> (level-u)::INT AS nz, sum(integral) AS ref FROM facts, range(2) t(u) WHERE u < level GROUP BY ALL),
+blocks AS (SELECT nl, nx, ny, nz, any_value(p0) AS p0, list(c ORDER BY k) AS p1 FROM bank JOIN p1c USING (nl, nx, ny, nz) GROUP BY ALL),
+c AS (SELECT * FROM below JOIN blocks USING (nl, nx, ny, nz) JOIN ways USING (view_id, row, col) JOIN off USING (view_id, row, col)),
+cut AS (SELECT c.*, {_NODE_IN} AS s0, {_NODE_OUT} AS s1 FROM c), len AS (SELECT *, greatest(s1-s0, 0) AS length, 2.0/(4*2**nl) AS w FROM cut),
+spots AS (SELECT *, {', '.join(f"least(greatest(({'z' if a == 'z' else ('bx' if a == 'x' else 'byy') + '+d' + a + f'*((s0+s1)/2+({sign})*length/2/sqrt(3.0::DOUBLE))'}-(-1+n{a}*w))/w, 0), 1) AS {a}{k}" for a in 'xyz' for k, sign in ((0, -1), (1, 1)))} FROM len),
+deltas AS (SELECT *, length*p0-ref AS d0, length/2*({_CORNERS})-ref AS d1 FROM spots)
+SELECT nl AS level, nx AS ix, ny AS iy, nz AS iz, round(sum(2*off*d0+n*d0*d0)/(SELECT count(*) FROM rays), 7) + 0.0 AS p0_change, round(sum(2*off*d1+n*d1*d1)/(SELECT count(*) FROM rays), 7) + 0.0 AS p1_change FROM deltas GROUP BY ALL"""
+
 ORACLES = {
+    "candidate_loss_change": _CHANGES,
+    "region_energy": f"WITH {o.PREDICTED}, {_weighted_sql('inverse', 'predicted')}, own AS (SELECT view_id, row, col, sum(integral) AS own FROM facts WHERE level = 2 GROUP BY ALL) SELECT count(*) AS n, round(avg(weight*pow((prediction-target)*coalesce(own, 0)/greatest(prediction, 1e-8), 2)), 6) AS energy FROM weighted LEFT JOIN own USING (view_id, row, col)",
     "detector_subset": f"WITH {o.RAYS}, {o.IMAGES}, picked AS (SELECT i, round_even(i*(255.0::DOUBLE/39), 0)::BIGINT AS p FROM range(40) t(i)) SELECT i, row, col, round(avg(v), 6) AS v FROM picked JOIN images ON row = p//16 AND col = p%16 GROUP BY ALL",
     "uniform_ray_sample": f"WITH {o.RAYS}, {o.IMAGES}, d AS (SELECT i AS draw, {_drawn('i', '3072', SEED)} AS n FROM range(500) t(i)) SELECT draw, view_id, row, col, round(v, 8) AS target FROM d JOIN images ON view_id = n//256 AND row = (n//16)%16 AND col = n%16",
     "stratified_ray_sample": f"WITH {o.RAYS}, {o.IMAGES}, d AS (SELECT i AS draw, (i+3)%12 AS w, {_drawn('i', '256', SEED + 3)} AS n FROM range(500) t(i)) SELECT draw, view_id, row, col, round(v, 8) AS target FROM d JOIN images ON view_id = w AND row = n//16 AND col = n%16",
