@@ -245,7 +245,25 @@ _CHILD_AT = lambda a: f"(o{a}+j{a})/2.0"
 
 _PACKED = f"WITH {o.LEAVES}, {_NODES}, nodes AS (SELECT level, ix, iy, iz, 0 AS leaf FROM up UNION ALL SELECT level, ix, iy, iz, 1 FROM leaves), p0 AS (SELECT *, ((ix >> level::INT)*4+(iy >> level::INT))*4+(iz >> level::INT) AS root, CASE WHEN level >= 1 THEN ((ix >> (level-1)::INT)%2)*4+((iy >> (level-1)::INT)%2)*2+(iz >> (level-1)::INT)%2 ELSE 0 END AS o1, CASE WHEN level >= 2 THEN (ix%2)*4+(iy%2)*2+iz%2 ELSE 0 END AS o2 FROM nodes), packed AS (SELECT row_number() OVER w - 1 AS node_id, level, ix, iy, iz, CASE WHEN leaf = 0 THEN (64+8*(sum(1-leaf) OVER w - 1))::BIGINT END AS child_base, CASE WHEN leaf = 1 THEN (sum(leaf) OVER w - 1)::BIGINT END AS leaf_id FROM p0 WINDOW w AS (ORDER BY level, root, o1, o2 ROWS UNBOUNDED PRECEDING))"
 
+# each round takes the means of the values nearest to the centres before it; an empty cluster keeps its centre
+_NEAREST = "list_position(list_transform(c, lambda x: abs(mu-x)), list_min(list_transform(c, lambda x: abs(mu-x))))"
+_ROUNDS = ", ".join(f"r{i + 1} AS (SELECT list(coalesce(m, c0) ORDER BY k) AS c FROM (SELECT k, any_value(c[k]) AS c0, avg(mu) FILTER (near = k) AS m FROM (SELECT mu, c, {_NEAREST} AS near FROM means, r{i}), range(1, 5) t(k) GROUP BY k))" for i in range(25))
+_KMEANS = f"WITH {o.LEAVES}, means AS (SELECT list_avg(mu) AS mu FROM leaves), r0 AS (SELECT quantile_cont(mu, [0, 1.0/3, 2.0/3, 1]) AS c FROM means), {_ROUNDS}"
+_TRILINEAR = "list_sum(list_transform(range(8), lambda k: {p}[k+1] * (CASE WHEN (k//4)%2 = 1 THEN {x} ELSE 1-{x} END) * (CASE WHEN (k//2)%2 = 1 THEN {y} ELSE 1-{y} END) * (CASE WHEN k%2 = 1 THEN {z} ELSE 1-{z} END)))"
+
+
+def _pruned_value(level: int) -> str:
+    spot = {a: f"(({a}+1)*{4 * 2**level}/2.0-floor(({a}+1)*{4 * 2**level}/2.0))" for a in "xyz"}
+    return f"WHEN a{level}.action = 1 THEN b{level}.p0 WHEN a{level}.action = 2 THEN " + _TRILINEAR.format(p=f"b{level}.p1", **spot)
+
+
+_ON = lambda level, t, keys: " AND ".join(f"{t}.{k} = floor((v.{a}+1)*{4 * 2**level}/2.0)" for a, k in zip("xyz", keys))
+_PRUNED = _DP + f", {o.DENSE}, plane AS (SELECT * FROM dense WHERE gx = 9), {o.value_at('plane').replace('at_leaf', 'plane_leaf').replace('values_at', 'plane_values')}, blocks AS (SELECT nl, nx, ny, nz, any_value(p0) AS p0, list(c ORDER BY k) AS p1 FROM bank JOIN p1c USING (nl, nx, ny, nz) GROUP BY ALL) SELECT v.gy, v.gz, round(CASE {_pruned_value(0)} {_pruned_value(1)} ELSE v.value END, 6) AS value FROM plane_values v LEFT JOIN done0 a0 ON {_ON(0, 'a0', ('ix', 'iy', 'iz'))} LEFT JOIN blocks b0 ON b0.nl = 0 AND {_ON(0, 'b0', ('nx', 'ny', 'nz'))} LEFT JOIN done1 a1 ON {_ON(1, 'a1', ('ix', 'iy', 'iz'))} LEFT JOIN blocks b1 ON b1.nl = 1 AND {_ON(1, 'b1', ('nx', 'ny', 'nz'))}"
+
 ORACLES = {
+    "merge_siblings": f"WITH {o.LEAVES}, {o.COEFFS}, par AS (SELECT level-1 AS pl, ix//2 AS px, iy//2 AS py, iz//2 AS pz, greatest(avg(mu[1]), 1e-12) AS v FROM leaves WHERE level > 0 GROUP BY ALL HAVING count(*) = 8 AND max(d) = 0) SELECT pl AS level, px AS ix, py AS iy, pz AS iz, 0::BIGINT AS k, round(v, 6) AS v FROM par UNION ALL SELECT level, ix, iy, iz, k::BIGINT, round(c, 6) FROM coeffs LEFT JOIN par ON pl = level-1 AND px = ix//2 AND py = iy//2 AND pz = iz//2 WHERE pl IS NULL",
+    "kmeans_1d": _KMEANS + f" SELECT ({_NEAREST}-1)::INT AS cluster, count(*) AS n, round(avg(mu), 6) AS mu FROM means, r25 GROUP BY 1",
+    "pruned_decode": _PRUNED,
     "packed_nodes": _PACKED + " SELECT * FROM packed",
     "split_bits": _PACKED + " SELECT level, node_id - min(node_id) OVER (PARTITION BY level) AS place, (child_base IS NOT NULL)::BIGINT AS bit FROM packed",
     "internal_nodes": f"WITH {o.LEAVES}, {_NODES} SELECT level, ix, iy, iz FROM up",
