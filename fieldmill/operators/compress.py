@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -25,27 +26,23 @@ def p1_design(n: int = AXIS) -> tuple[np.ndarray, np.ndarray]:
     return design, np.linalg.pinv(design)
 
 
-def _table(spark, m: np.ndarray, row: str, column: str, name: str) -> DataFrame:
-    return spark.createDataFrame([(i, j, float(v)) for i, r in enumerate(m) for j, v in enumerate(r)], f"{row} long, {column} long, {name} double")
+def _constant(values: np.ndarray) -> Column:
+    return F.array(*(F.lit(float(v)) for v in values))
 
 
-def _detail(rows: DataFrame, key: list[str], value: str, n: int = AXIS) -> DataFrame:
-    """Per node the mean squared forward difference of a value on its sample grid, summed over the axes.
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
-    Every sample goes to the differences it takes part in, with its sign; their sums are the differences.
-    """
-    s = F.col("at")
-    place = {"x": F.expr(f"at div {n * n}"), "y": F.expr(f"(at div {n}) % {n}"), "z": s % n}
-    step = {"x": n * n, "y": n, "z": 1}
-    parts = []
-    for k, a in enumerate("xyz"):
-        axis = F.lit(k)
-        parts.append(F.when(place[a] < n - 1, F.struct(axis.alias("axis"), s.alias("pair"), F.lit(-1.0).alias("sign"))))
-        parts.append(F.when(place[a] > 0, F.struct(axis.alias("axis"), (s - step[a]).alias("pair"), F.lit(1.0).alias("sign"))))
-    both = rows.select(*key, value, F.explode(F.array(*parts)).alias("d")).where("d is not null")
-    diffs = both.groupBy(*key, "d.axis", "d.pair").agg(F.sum(F.col(value) * F.col("d.sign")).alias("diff"))
-    each = diffs.groupBy(*key).agg(F.sum(F.col("diff") * F.col("diff")).alias("sq"))
-    return each.select(*key, (F.col("sq") * float((n - 1) ** 2) / float((n - 1) * n * n)).alias("detail"))
+
+def _detail(values: Column, n: int = AXIS) -> Column:
+    """The mean squared forward difference of an n * n * n grid, summed over the axes."""
+    spots = np.arange(n**3)
+    out = F.lit(0.0)
+    for step in (n * n, n, 1):
+        low = spots[spots // step % n < n - 1]
+        diff = F.transform(F.array(*(F.lit(int(i)) for i in low)), lambda i: F.get(values, i + int(step)) - F.get(values, i))
+        out = out + _total(F.transform(diff, lambda d: d * d))
+    return out * float((n - 1) ** 2) / float((n - 1) * n * n)
 
 
 def node_samples(leaves: DataFrame, levels: Sequence[int], n: int = AXIS) -> DataFrame:
@@ -63,19 +60,20 @@ def node_samples(leaves: DataFrame, levels: Sequence[int], n: int = AXIS) -> Dat
 def candidate_bank(samples: DataFrame, key: list[str]) -> DataFrame:
     """Per node: p0 (mean), p1 (8 coefficients), and value and detail distortion of either, times the volume.
 
-    `samples` has key, volume, at (0 to 63) and v.
+    `samples` has key, volume, at (0 to 63) and v. A node's 64 samples meet once, as an array; fits and differences are
+    array sums within its row.
     """
-    spark = samples.sparkSession
     design, inverse = p1_design()
-    level = samples.groupBy(*key, "volume").agg(F.avg("v").alias("p0"), F.var_pop("v").alias("p0_dist"))
-    fitted = samples.join(F.broadcast(_table(spark, inverse, "k", "at", "w")), "at").groupBy(*key, "k").agg(F.greatest(F.sum(F.col("v") * F.col("w")), F.lit(1e-12)).alias("c"))
-    made = fitted.join(F.broadcast(_table(spark, design, "at", "k", "b")), "k").groupBy(*key, "at").agg(F.sum(F.col("c") * F.col("b")).alias("fit"))
-    off = samples.join(made, [*key, "at"]).withColumn("r", F.col("v") - F.col("fit"))
-    p1 = fitted.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("p1"))
-    p1_dist = off.groupBy(*key).agg(F.avg(F.col("r") * F.col("r")).alias("p1_dist"))
-    details = _detail(samples, key, "v").withColumnRenamed("detail", "p0_detail").join(_detail(off, key, "r").withColumnRenamed("detail", "p1_detail"), key)
-    all_ = level.join(p1, key).join(p1_dist, key).join(details, key)
-    return all_.select(*key, "p0", "p1", *((F.col(c) * F.col("volume")).alias(c) for c in ("p0_dist", "p0_detail", "p1_dist", "p1_detail")))
+    grid = samples.groupBy(*key, "volume").agg(F.avg("v").alias("p0"), F.var_pop("v").alias("p0_dist"), F.sort_array(F.collect_list(F.struct("at", "v"))).alias("_g"))
+    grid = grid.withColumn("_v", F.transform("_g", lambda x: x["v"])).drop("_g")
+    grid = grid.withColumn("p1", F.array(*(F.greatest(_total(F.zip_with("_v", _constant(row), lambda x, w: x * w)), F.lit(1e-12)) for row in inverse)))
+    def plus(fit: Column, k: int) -> Column:
+        return F.zip_with(fit, _constant(design[:, k]), lambda s, b: s + F.get("p1", F.lit(k)) * b)
+
+    fit = reduce(plus, range(8), F.array_repeat(F.lit(0.0), AXIS**3))
+    grid = grid.withColumn("_r", F.zip_with("_v", fit, lambda x, y: x - y))
+    made = {"p0_dist": F.col("p0_dist"), "p0_detail": _detail(F.col("_v")), "p1_dist": _total(F.transform("_r", lambda r: r * r)) / AXIS**3, "p1_detail": _detail(F.col("_r"))}
+    return grid.select(*key, "p0", "p1", *((e * F.col("volume")).alias(c) for c, e in made.items()))
 
 
 def select_tree(leaves: DataFrame, bank: DataFrame, depth: int, prices: Sequence[float], gamma: float = 0.0, allow_p0: bool = True) -> DataFrame:
