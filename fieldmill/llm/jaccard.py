@@ -262,6 +262,17 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["chief", "doc", "token"])
 
 
+def _to_common_chiefs(lists: DataFrame, answers: DataFrame, hub: int) -> DataFrame:
+    """(a, b, hub): sets b of lists in which another chief a was compared with more sets than their own, over `hub` of them."""
+    fans = answers.groupBy("a").agg(F.count("*").alias("fans")).where(F.col("fans") > hub)
+    own = answers.select(F.col("b").alias("doc"), F.col("a").alias("chief")).join(fans.withColumnRenamed("a", "chief"), "chief")
+    best = lists.select("token", "doc").join(own, "doc").groupBy("token").agg(F.max(F.struct("fans", "chief")).alias("top"))
+    wish = lists.select("token", "doc").join(best, "token").groupBy("doc").agg(F.max("top").alias("top"))
+    now = answers.select(F.col("b").alias("doc"), F.col("a").alias("chief"))
+    moved = wish.join(now, "doc").where((F.col("chief") != F.col("top.chief")) & (F.col("doc") != F.col("top.chief")))
+    return moved.select(F.col("top.chief").alias("a"), F.col("doc").alias("b"), F.lit(True).alias("hub"))
+
+
 def answers_of_chiefs(answers: DataFrame, sized: DataFrame) -> DataFrame:
     """(doc, chief, overlap, beyond): for each set that was compared with a chief, and each chief, what it shares with the chief, and how much
     beyond the chief it can share with another set of the same chief: what any other has too, known for large groups."""
@@ -310,11 +321,15 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, per_bucket: in
     tried = staged(tried.join(many, "a"), "tried")
     answers = verified(slim, tried, size)
     sized = classes.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("size"))
-    linked = _linked(answers, sized, percent)
+    # where sets of one list have several chiefs, they are compared with the one that most sets were
+    moved = staged(_to_common_chiefs(lists, answers, hub), "moved")
+    again = verified(slim, moved, size)
+    linked = _linked(answers.unionByName(again), sized, percent)
     settled = connected(linked)
+    answers_now = answers.join(again.select("b"), "b", "left_anti").unionByName(again)
 
     # pairs of unlike groups that some list holds
-    known = answers_of_chiefs(answers, sized)
+    known = answers_of_chiefs(answers_now, sized)
     told = lists.join(settled.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed_lists = told.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     open_lists = told.join(mixed_lists, "token", "left_semi").join(known, "doc", "left")
@@ -331,7 +346,7 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, per_bucket: in
     alike = classes.join(whole, F.col("rep") == F.col("node"), "left").select("n", "fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(alike, ["n", "fp1", "fp2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out = staged(out, "components")
-    for table in (prints, classes, lists, tried, answers, linked, settled, checked, late, more, whole):
+    for table in (prints, classes, lists, tried, answers, moved, again, linked, settled, checked, late, more, whole):
         drop_staged(table)
     return out
 
