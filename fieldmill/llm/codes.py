@@ -144,7 +144,7 @@ def _whole(parts: int, dims: int, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, x = whole_rows(batch.column("embedding"), dims, scale)
-            top = (x.reshape(len(x), parts, -1) ** 2).sum(axis=2).max(axis=1, initial=0)
+            top = (x.reshape(len(x), parts, dims // parts) ** 2).sum(axis=2).max(axis=1, initial=0)
             at = pa.array(kept)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("label").take(at), _packed(x.astype("<i4")), pa.array(top)], ["vec_id", "label", "v", "top"])
 

@@ -166,6 +166,9 @@ def write_archive(pages: DataFrame, folder: str, prefix: str = "pages", roll: in
     """
     spark = pages.sparkSession
     store, root = _store(spark, folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if store.exists(path(f"{root}/manifest")):
+        raise FileExistsError(f"{root} holds an archive")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     # ids, digests and sizes only: what repeats is found without moving a payload
@@ -187,11 +190,10 @@ def write_archive(pages: DataFrame, folder: str, prefix: str = "pages", roll: in
     placed = members.join(F.broadcast(starts), "part").select(F.expr(f"(_before + start) div {roll}").alias("file"), "part", "place", "member")
     files = -(-(members.agg(F.sum("size")).first()[0] or 1) // roll)
     written = placed.repartition(files, "file").sortWithinPartitions("file", "part", "place").mapInArrow(_writer(root, prefix), FILE_TYPE)
-    path = spark._jvm.org.apache.hadoop.fs.Path
     temporary = f"{root}/.manifest-{uuid.uuid4().hex}"
     written.write.parquet(temporary)
     if not store.rename(path(temporary), path(f"{root}/manifest")):
-        raise OSError(f"{root} has a manifest already")
+        raise OSError(f"{root} could not be committed")
     store.delete(path(f"{root}/.tmp"), True)
     for table in (slim, led, members):
         drop_staged(table)
