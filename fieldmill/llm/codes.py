@@ -41,15 +41,18 @@ def first_bounds(x: np.ndarray, entries: np.ndarray, unit: int) -> tuple[np.ndar
     return own, root_up(d[np.arange(len(x)), own]), root_down(d) // unit
 
 
-def tightened(x: np.ndarray, entries: np.ndarray, far: np.ndarray, moves: np.ndarray, own: np.ndarray, upper: np.ndarray, lower: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(entry, upper, lower, exact distances taken) after the entries have moved by `moves`; `far`: squared distances between entries."""
+def tightened(x: np.ndarray, entries: np.ndarray, between: np.ndarray, moves: np.ndarray, own: np.ndarray, upper: np.ndarray, lower: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(entry, upper, lower, exact distances taken) after the entries have moved by `moves`; `between`: distances between entries, rounded down.
+
+    Lower bounds and moves count in units, so that a bound shifts by a subtraction.
+    """
     rows = np.arange(len(x))
-    lower = np.maximum(lower * unit - moves[None, :], 0) // unit
+    lower = np.maximum(lower - (-(-moves // unit)).astype(lower.dtype)[None, :], 0)
     upper = upper + moves[own]
 
     def open_pairs(r: np.ndarray) -> np.ndarray:
-        bound = upper[r][:, None]
-        out = (lower[r] * unit <= bound) & (far[own[r]] <= 4 * bound * bound)
+        out = lower[r] <= (upper[r] // unit).astype(lower.dtype)[:, None]
+        out &= between[own[r]] <= np.minimum(2 * upper[r], 2**31 - 1).astype(between.dtype)[:, None]
         out[np.arange(len(r)), own[r]] = False
         return out
 
@@ -73,13 +76,13 @@ def _round(books: np.ndarray, moves: np.ndarray | None, unit: int):
     parts, count, width = books.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        far = [all_apart(b, b) for b in books]
+        between = [root_down(all_apart(b, b)).astype(np.int32) for b in books]
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
                 n = batch.num_rows
                 x = _unpacked(batch.column("v"), "<i4", parts, width).astype(np.int64)
-                own, upper, lower = np.empty((n, parts), np.int64), np.empty((n, parts), np.int64), np.empty((n, parts, count), np.int64)
+                own, upper, lower = np.empty((n, parts), np.int64), np.empty((n, parts), np.int64), np.empty((n, parts, count), np.int32)
                 if moves is not None:
                     own[:] = _unpacked(batch.column("own"), "<u2", parts)
                     upper[:] = _unpacked(batch.column("upper"), "<i8", parts)
@@ -88,7 +91,7 @@ def _round(books: np.ndarray, moves: np.ndarray | None, unit: int):
                     if moves is None:
                         own[:, p], upper[:, p], lower[:, p] = first_bounds(x[:, p], books[p], unit)
                     else:
-                        own[:, p], upper[:, p], lower[:, p], _ = tightened(x[:, p], books[p], far[p], moves[p], own[:, p], upper[:, p], lower[:, p], unit)
+                        own[:, p], upper[:, p], lower[:, p], _ = tightened(x[:, p], books[p], between[p], moves[p], own[:, p], upper[:, p], lower[:, p], unit)
                 state = [_packed(own.astype("<u2")), _packed(upper), _packed(lower.reshape(n, -1).astype("<u2"))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "label", "v")), *state], ["vec_id", "label", "v", "own", "upper", "lower"])
 

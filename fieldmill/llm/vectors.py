@@ -48,6 +48,8 @@ def all_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def root_down(squares: np.ndarray) -> np.ndarray:
     """Integer square roots, rounded down."""
     root = np.sqrt(squares.astype(np.float64)).astype(np.int64)
+    if squares.max(initial=0) < 1 << 52:  # the float root of such a square rounds to no larger integer
+        return root
     root -= root * root > squares
     return root + ((root + 1) * (root + 1) <= squares)
 

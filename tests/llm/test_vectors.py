@@ -113,10 +113,10 @@ def test_bounds_hold_and_prune(seed, unit):
         later = entries + rng.integers(-9, 10, entries.shape) * (rng.random((len(entries), 1)) < 0.5)
         moves = vectors.root_up(vectors.apart(entries, later))
         entries = later
-        own, upper, lower, n = codes.tightened(x, entries, vectors.all_apart(entries, entries), moves, own, upper, lower, unit)
+        own, upper, lower, n = codes.tightened(x, entries, vectors.root_down(vectors.all_apart(entries, entries)), moves, own, upper, lower, unit)
         d = vectors.all_apart(x, entries)
         assert (own == d.argmin(axis=1)).all()
-        assert ((lower * unit) ** 2 <= d).all() and (upper**2 >= d[np.arange(len(x)), own]).all()
+        assert ((lower.astype(np.int64) * unit) ** 2 <= d).all() and (upper**2 >= d[np.arange(len(x)), own]).all()
         taken += n
     assert taken < 0.5 * 4 * d.size
 
@@ -126,6 +126,9 @@ def test_large_components_are_exact():
     assert vectors.all_apart(x, x).tolist() == [[0, 1 + (2**25 + 3) ** 2], [1 + (2**25 + 3) ** 2, 0]]
     squares = np.array([0, 1, 2, 3, 4, (2**29 - 1) ** 2 - 1, (2**29 - 1) ** 2, 2**58 - 1], np.int64)
     assert vectors.root_down(squares).tolist() == [math.isqrt(int(v)) for v in squares]
+    few = squares[:5]
+    assert vectors.root_down(few).tolist() == [0, 1, 1, 1, 2] and vectors.root_up(few).tolist() == [0, 1, 2, 2, 2]
+    assert vectors.root_down(np.array([(2**26 - 1) ** 2 - 1, (2**26 - 1) ** 2])).tolist() == [2**26 - 2, 2**26 - 1]
     assert vectors.root_up(squares).tolist() == [math.isqrt(int(v) - 1) + 1 if v else 0 for v in squares]
 
 
