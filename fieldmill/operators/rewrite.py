@@ -93,6 +93,12 @@ def basis_matrix(p: int, x: np.ndarray) -> np.ndarray:
     return np.stack([comb(p, i) * x**i * (1 - x) ** (p - i) for i in range(p + 1)], 1)
 
 
+def fit_matrix(p: int) -> np.ndarray:
+    """Least-squares weights of an axis' midpoint samples for its coefficients."""
+    n = max(2 * (p + 1), 4)
+    return np.linalg.pinv(basis_matrix(p, (np.arange(n) + 0.5) / n))
+
+
 def merge(leaves: DataFrame, parents: DataFrame, levels: Sequence[int], most: int = 3) -> DataFrame:
     """Leaves with the eight children of each parent fitted by one block of their highest degrees.
 
@@ -112,8 +118,7 @@ def merge(leaves: DataFrame, parents: DataFrame, levels: Sequence[int], most: in
     node = ["_l", "_ix", "_iy", "_iz"]
     places = spots.select(*node, *(F.col(f"p{x}").alias(f"q{x}") for x in "xyz"), "sx", "sy", "sz", "x", "y", "z")
     rows = evaluate(places, kids.select(*LEAF), levels, [*node, "qx", "qy", "qz", "sx", "sy", "sz"]).withColumnRenamed("value", "v")
-    fits = [np.linalg.pinv(basis_matrix(p, (np.arange(max(2 * (p + 1), 4)) + 0.5) / max(2 * (p + 1), 4))) for p in range(most + 1)]
-    table = _fit_table(spark, range(most + 1), fits)
+    table = _fit_table(spark, range(most + 1), [fit_matrix(p) for p in range(most + 1)])
     for x, out in zip("xyz", "abc"):
         t = table.select(F.col("p").alias(f"q{x}"), F.col("i").alias(out), F.col("old").alias(f"s{x}"), "w")
         rows = rows.join(F.broadcast(t), [f"q{x}", f"s{x}"]).withColumn("v", F.col("v") * F.col("w")).drop("w")
