@@ -6,23 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import snapshot
 
-def running_totals(df: DataFrame, score: str, key: list[str], sums: dict[str, Column], per_part: int = 500_000) -> DataFrame:
-    """Running sums in the order (score falling, key rising), each up to and with its row.
 
-    Rows are cut into ranges of the score; ranges are summed, their sums run up, and rows run up within their
-    range. A table of up to per_part rows is one range.
+def running_totals(df: DataFrame, score: str | list[Column], key: list[str], sums: dict[str, Column], per_part: int = 500_000) -> DataFrame:
+    """Running sums in the order (score falling, key rising), each up to and with its row. `score` may be a list of orderings instead.
+
+    A larger table than per_part rows is cut into ranges of that whole order, so that rows of one score may lie in many, and is written once in ranges;
+    ranges are summed, their sums run up, and rows run up within their range.
     """
+    order = [*([F.desc(score)] if isinstance(score, str) else score), *key]
+    rows = df.withColumns({f"_v_{k}": v for k, v in sums.items()})
     n = df.count()
-    cuts = df.agg(F.percentile_approx(score, F.lit([i * per_part / n for i in range(1, -(-n // per_part))]), 10_000)).first()[0] if n > per_part else []
-    part = F.lit(0)
-    for cut in sorted(set(cuts)):
-        part = part + (F.col(score) < cut).cast("int")
-    rows = df.withColumns({"_part": part, **{f"_v_{k}": v for k, v in sums.items()}})
+    if n > per_part:
+        ranged = rows.repartitionByRange(-(-n // per_part), *order)
+        rows = snapshot(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
+    else:
+        rows = rows.withColumn("_part", F.lit(0))
     totals = rows.groupBy("_part").agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     starts = totals.select("_part", *(F.coalesce(F.sum(f"_t_{k}").over(ahead), F.lit(0)).alias(f"_s_{k}") for k in sums))
-    inside = Window.partitionBy("_part").orderBy(F.desc(score), *key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.join(F.broadcast(starts), "_part")
     return out.select(*df.columns, *((F.sum(f"_v_{k}").over(inside) + F.col(f"_s_{k}")).alias(k) for k in sums))
 
@@ -40,14 +44,15 @@ def top_union(df: DataFrame, score: str, key: list[str], fraction: float, cap_fr
     Under the cap material rows come first, by material value, then the others by score.
     """
     n = df.count()
-    ranked = df.orderBy(F.desc(score), *key).limit(max(1, int(n * fraction)))
+    place = {"_place": F.lit(1)}
+    ranked = running_totals(df, score, key, place).where(F.col("_place") <= max(1, int(n * fraction))).drop("_place")
     bar = df.where(F.col(score) > 0).agg(F.percentile(score, 0.95)).first()[0] if q95_times is not None else None
     is_material = (F.col(material) >= least) if material else F.lit(False)
     extra = is_material | ((F.col(score) >= bar * q95_times) if bar is not None else F.lit(False))
     union = ranked.union(df.where(extra)).distinct()
     cap = int(n * cap_fraction)
     first = F.when(is_material, F.col(material)) if material else F.lit(None).cast("double")
-    return union.orderBy(F.desc_nulls_last(first), F.desc(score), *key).limit(cap)
+    return running_totals(union, [F.desc_nulls_last(first), F.desc(score)], key, place).where(F.col("_place") <= cap).drop("_place")
 
 
 def quantile_band(df: DataFrame, score: str, low: float, high: float) -> DataFrame:

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from .ordered import running_totals
 
-#: A multiplier and modulus of a full-period generator (31 bits).
-STEP, PERIOD = 48_271, 2_147_483_647
+#: Draws are numbers of so many hexadecimal digits: 60 bits.
+DIGITS = 15
 
 
 def drawn(number: Column, below: Column, seed: int) -> Column:
-    """A number from 0 up to `below`, drawn with replacement by the draw's number and the seed."""
-    mixed = (number + 1 + seed * 7919) % PERIOD * STEP % PERIOD
-    return mixed * STEP % PERIOD % below
+    """A number from 0 up to `below`, drawn with replacement by the draw's number and the seed: 60 bits of the MD5 of both."""
+    mixed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), number.cast("string"))), 1, DIGITS), 16, 10)
+    return mixed.cast("long") % below
 
 
 def spaced(spark: SparkSession, size: int, count: int | None) -> DataFrame:
@@ -48,7 +48,7 @@ def held_out_views(rays: DataFrame, share: float, seed: int) -> DataFrame:
 
     What ranks views is one row each.
     """
-    views = rays.select("view_id").distinct().withColumn("draw", -drawn(F.col("view_id"), F.lit(PERIOD), seed))
+    views = rays.select("view_id").distinct().withColumn("draw", -drawn(F.col("view_id"), F.lit(1 << 60), seed))
     n = views.count()
     held = max(1, min(n - 1, round(n * share)))
     return running_totals(views, "draw", ["view_id"], {"place": F.lit(1)}).select("view_id", (F.col("place") <= held).alias("held_out"))
@@ -99,3 +99,26 @@ def parents_to_split(scores: DataFrame, axes: Sequence[str], score: str, size: i
     k = max(1, int(size ** len(axes) * fraction))
     best = running_totals(scores, score, list(axes), {"_place": F.lit(1)}).where(F.col("_place") <= k)
     return with_halo(best, axes, size, halo).select(*(F.expr(f"{a} div 2").alias(a) for a in axes)).distinct()
+
+
+def edge_pairs(images: DataFrame, value: str, count: int, views: int, size: int, seed: int, strides: Sequence[int] = (1, 2, 4), uniform: float = 0.5, oversampled: int = 8) -> DataFrame:
+    """Pairs of pixels a stride apart: (draw, view_id, row, col, row_b, col_b, stride, a, b, derivative, midpoint, biased).
+
+    A share is drawn uniformly; the rest are the steepest of a pool `oversampled` times as large, found by rank in ranges, not by one sort. View, direction,
+    stride and place are draws of their own, so that each direction and stride is as likely as any other whatever room it has.
+    """
+    if count < 1 or not strides or min(strides) < 1 or max(strides) >= size or not 0.0 <= uniform <= 1.0:
+        raise ValueError("count and strides must be positive, strides fit into the detector, and the uniform share lie in [0, 1]")
+    even = min(count, round(count * uniform))
+    steep = count - even
+    number = F.col("draw")
+    draws = images.sparkSession.range(even + max(steep, steep * max(1, oversampled))).withColumnRenamed("id", "draw")
+    draws = draws.withColumns({"view_id": drawn(number, F.lit(views), seed), "_down": drawn(number, F.lit(2), seed + 1) == 0, "stride": F.element_at(F.array(*(F.lit(s).cast("long") for s in strides)), (drawn(number, F.lit(len(strides)), seed + 2) + 1).cast("int"))})
+    step = {"row": F.when(F.col("_down"), F.col("stride")).otherwise(0), "col": F.when(F.col("_down"), 0).otherwise(F.col("stride"))}
+    draws = draws.withColumns({k: drawn(number, size - step[k], seed + 3 + i) for i, k in enumerate(step)})
+    draws = draws.withColumns({f"{k}_b": F.col(k) + step[k] for k in step})
+    other = images.select("view_id", F.col("row").alias("row_b"), F.col("col").alias("col_b"), F.col(value).alias("b"))
+    met = draws.join(images.select("view_id", "row", "col", F.col(value).alias("a")), ["view_id", "row", "col"]).join(other, ["view_id", "row_b", "col_b"])
+    met = met.withColumns({"derivative": (F.col("b") - F.col("a")) / F.col("stride"), "midpoint": 0.5 * (F.col("a") + F.col("b")), "biased": F.col("draw") >= even})
+    ranked = running_totals(met.where("biased"), [F.desc(F.abs(F.col("derivative")))], ["draw"], {"_place": F.lit(1)})
+    return met.where("not biased").unionByName(ranked.where(F.col("_place") <= steep).drop("_place")).drop("_down")

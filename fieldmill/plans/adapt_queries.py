@@ -180,7 +180,7 @@ f{i + 1} AS (SELECT * FROM f{i} x ANTI JOIN (SELECT * FROM g{i} WHERE (SELECT ac
 pa{i + 1} AS (SELECT p.* REPLACE (CASE WHEN (SELECT accepted FROM v{i}) THEN coalesce(later, p.prediction) ELSE p.prediction END AS prediction) FROM pa{i} p LEFT JOIN (SELECT view_id, row, col, later FROM way{i}) USING (view_id, row, col))"""
 
 
-_SIDES = f"""views AS (SELECT DISTINCT view_id FROM rays), sides AS (SELECT view_id, row_number() OVER (ORDER BY {_drawn('view_id', str(sampling.PERIOD), SEED)}, view_id) <= greatest(1, least((SELECT count(*) FROM views)-1, round_even((SELECT count(*) FROM views)*0.25, 0))) AS held_out FROM views)"""
+_SIDES = f"""views AS (SELECT DISTINCT view_id FROM rays), sides AS (SELECT view_id, row_number() OVER (ORDER BY {_drawn('view_id', str(1 << 60), SEED)}, view_id) <= greatest(1, least((SELECT count(*) FROM views)-1, round_even((SELECT count(*) FROM views)*0.25, 0))) AS held_out FROM views)"""
 _PATHS = f"{_weighted_sql('inverse', 'predicted')}, {_SIDES}, pa0 AS (SELECT view_id, row, col, count(*) AS n, sum(weight) AS w, sum(weight*target) AS wt, sum(weight*target*target) AS wtt, any_value(held_out) AS held_out, any_value(prediction) AS prediction FROM weighted JOIN sides USING (view_id) GROUP BY view_id, row, col), f0 AS (SELECT * FROM facts)"
 
 

@@ -107,7 +107,7 @@ QUERIES = {f.__name__: f for f in (candidate_loss_change, region_energy, detecto
 
 
 def _drawn(number: str, below: str, seed: int) -> str:
-    return f"((({number}) + 1 + {seed * 7919}) % {sampling.PERIOD} * {sampling.STEP} % {sampling.PERIOD} * {sampling.STEP} % {sampling.PERIOD} % ({below}))"
+    return f"(CAST('0x' || substr(md5('{seed}:' || ({number})), 1, {sampling.DIGITS}) AS BIGINT) % ({below}))"
 
 
 _GRADED = _VOLUME + ", g AS (SELECT *, coalesce(0.5*(lead(v) OVER a - lag(v) OVER a),0) AS dx, coalesce(0.5*(lead(v) OVER b - lag(v) OVER b),0) AS dy, coalesce(0.5*(lead(v) OVER c - lag(v) OVER c),0) AS dz FROM vol WINDOW a AS (PARTITION BY gy,gz ORDER BY gx), b AS (PARTITION BY gx,gz ORDER BY gy), c AS (PARTITION BY gx,gy ORDER BY gz)), graded AS (SELECT gx, gy, gz, v, sqrt(dx*dx+dy*dy+dz*dz) AS gradient FROM g)"
@@ -160,7 +160,7 @@ ORACLES = {
     "detector_subset": f"WITH {o.RAYS}, {o.IMAGES}, picked AS (SELECT i, round_even(i*(255.0::DOUBLE/39), 0)::BIGINT AS p FROM range(40) t(i)) SELECT i, row, col, round(avg(v), 6) AS v FROM picked JOIN images ON row = p//16 AND col = p%16 GROUP BY ALL",
     "uniform_ray_sample": f"WITH {o.RAYS}, {o.IMAGES}, d AS (SELECT i AS draw, {_drawn('i', '3072', SEED)} AS n FROM range(500) t(i)) SELECT draw, view_id, row, col, round(v, 8) AS target FROM d JOIN images ON view_id = n//256 AND row = (n//16)%16 AND col = n%16",
     "stratified_ray_sample": f"WITH {o.RAYS}, {o.IMAGES}, d AS (SELECT i AS draw, (i+3)%12 AS w, {_drawn('i', '256', SEED + 3)} AS n FROM range(500) t(i)) SELECT draw, view_id, row, col, round(v, 8) AS target FROM d JOIN images ON view_id = w AND row = n//16 AND col = n%16",
-    "held_out_split": f"WITH {o.RAYS}, views AS (SELECT DISTINCT view_id FROM rays), r AS (SELECT view_id, row_number() OVER (ORDER BY {_drawn('view_id', str(sampling.PERIOD), SEED)}, view_id) <= greatest(1, least((SELECT count(*) FROM views)-1, round_even((SELECT count(*) FROM views)*0.25, 0))) AS held_out FROM views) SELECT view_id, held_out, count(*) AS n FROM rays JOIN r USING (view_id) GROUP BY ALL",
+    "held_out_split": f"WITH {o.RAYS}, views AS (SELECT DISTINCT view_id FROM rays), r AS (SELECT view_id, row_number() OVER (ORDER BY {_drawn('view_id', str(1 << 60), SEED)}, view_id) <= greatest(1, least((SELECT count(*) FROM views)-1, round_even((SELECT count(*) FROM views)*0.25, 0))) AS held_out FROM views) SELECT view_id, held_out, count(*) AS n FROM rays JOIN r USING (view_id) GROUP BY ALL",
     "volume_pools": _POOLS + " SELECT material, boundary, count(*) AS n, round(sum(v), 5) AS total FROM pools GROUP BY ALL",
     "volume_sample": _SAMPLE,
     "volume_losses": _VOLUME + " SELECT a.gz, count(*) AS n, round(avg((a.v-b.v)**2), 9) AS mse, round(avg(abs(a.v-b.v)), 9) AS l1, round(avg(CASE WHEN abs(a.v-b.v) <= 1 THEN 0.5*(a.v-b.v)**2 ELSE abs(a.v-b.v)-0.5 END), 9) AS smooth_l1 FROM vol a JOIN vol b ON b.gx = a.gx+1 AND b.gy = a.gy AND b.gz = a.gz GROUP BY a.gz",
