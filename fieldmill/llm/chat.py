@@ -1,8 +1,8 @@
 """Chat formatting: records of unlike layouts become canonical turns, and turns become one marked text.
 
 A record's layout is told by its fingerprint: a hash of the sorted paths of its nested fields. Each
-known fingerprint selects a declarative mapping from field paths to turns. Everything is DataFrame
-expressions over JSON text, so one table may mix layouts row by row.
+known fingerprint selects a declarative mapping from field paths to turns. Records are JSON text, so that one table may
+mix layouts row by row, or structs, whose paths are those of their schema and whose texts are taken as they are, without a JSON reader's limits.
 
 Template, for each turn:  <|turn|>ROLE<|says|>TEXT<|over|>
 In roles and texts & becomes &amp; and < becomes &lt; so no mark can appear inside them, whatever they
@@ -15,8 +15,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 TURN, SAYS, OVER = "<|turn|>", "<|says|>", "<|over|>"
+#: Characters of one text that Spark's JSON reader takes (fixed value).
+MOST_JSON = 20_000_000
 TURNS_TYPE = "array<struct<role:string,text:string>>"
 
 
@@ -103,6 +106,29 @@ def canonical_turns(record: Column, print_col: Column, layouts: tuple[Layout, ..
     return out
 
 
+def schema_paths(kind: StructType) -> list[str]:
+    """Sorted nested field paths of a struct, as field_paths gives them for JSON."""
+    out = []
+    for f in kind.fields:
+        inner = f.dataType.elementType if isinstance(f.dataType, ArrayType) else None
+        out += [f"{f.name}[].{g.name}" for g in inner.fields] if isinstance(inner, StructType) else [f.name]
+    return sorted(out)
+
+
+def struct_turns(record: Column, kind: StructType, layouts: tuple[Layout, ...] = LAYOUTS, roles: dict[str, str] | None = None) -> Column:
+    """Turns of a struct under the mapping that its schema's fingerprint selects; null for an unknown layout."""
+    name = "|".join(schema_paths(kind))
+    for layout in layouts:
+        if layout.text == name and layout.items:
+            path, role, text = layout.items
+            return _items(record[path], role, text, roles)
+        if layout.text == name:
+            parts = lambda paths: F.filter(F.array(*(F.coalesce(record[p].cast("string"), F.lit("")) for p in paths)), lambda x: x != "")
+            said = [F.struct(F.lit(who).alias("role"), F.array_join(parts(paths), "\n\n").alias("text")) for who, paths in layout.turns]
+            return F.when(record.isNotNull(), F.array(*said))
+    return F.lit(None).cast(TURNS_TYPE)
+
+
 def escaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
@@ -112,17 +138,28 @@ def unescaped(text: Column) -> Column:
 
 
 def format_chats(records: DataFrame, id_col: str, record_col: str, layouts: tuple[Layout, ...] = LAYOUTS, roles: dict[str, str] | None = None, learn_from: str = "assistant") -> DataFrame:
-    """Format JSON records: conv_id, layout fingerprint, turns, formatted text and loss spans.
+    """Format records, JSON text or structs: conv_id, layout fingerprint, turns, formatted text, loss spans, and `problem`.
 
     loss_spans holds (start, length) in code points of the formatted text, 0-based, one for each text of
     role `learn_from`, in order. A record that is null, no JSON object, or of an unknown layout keeps
-    its row with null turns, formatted text and spans. A record without turns formats to an empty text.
-    Null roles and texts inside a record count as empty. Texts are kept whole, however long; repeated rows give repeated
-    rows; an empty table gives none. Other columns of the table are ignored.
+    its row with null turns, formatted text and spans, and `problem` says which. So does a JSON record that Spark's reader can't
+    take because a text in it has over 20 million characters; structs have no such limit. A record without turns formats to an empty text.
+    Null roles and texts inside a record count as empty. Texts are kept whole; repeated rows give repeated
+    rows; an empty table gives none. Other columns of the table are ignored, whatever their names.
     """
-    read = records.select(F.col(id_col).alias("conv_id"), F.col(record_col).cast("string").alias("_record"))
-    read = read.withColumn("layout", fingerprint(F.col("_record")))
-    read = read.withColumn("turns", canonical_turns(F.col("_record"), F.col("layout"), layouts, roles))
+    kind = records.schema[record_col].dataType
+    if isinstance(kind, StructType):
+        read = records.select(F.col(id_col).alias("conv_id"), F.col(record_col).alias("_record"))
+        read = read.withColumn("layout", F.when(F.col("_record").isNotNull(), F.xxhash64(F.lit("|".join(schema_paths(kind))))))
+        read = read.withColumn("turns", struct_turns(F.col("_record"), kind, layouts, roles))
+        long = F.lit(False)
+    else:
+        read = records.select(F.col(id_col).alias("conv_id"), F.col(record_col).cast("string").alias("_record"))
+        read = read.withColumn("layout", fingerprint(F.col("_record")))
+        read = read.withColumn("turns", canonical_turns(F.col("_record"), F.col("layout"), layouts, roles))
+        long = F.length("_record") > MOST_JSON
+    problem = F.when(F.col("turns").isNotNull(), None).when(F.col("_record").isNull(), "null record").when(long, "over the JSON reader's limit").otherwise("unknown layout")
+    read = read.withColumn("problem", problem.cast("string"))
     parts = F.transform("turns", lambda t: F.struct(F.concat(F.lit(TURN), escaped(t["role"]), F.lit(SAYS)).alias("head"), escaped(t["text"]).alias("body"), (t["role"] == learn_from).alias("learn")))
     read = read.withColumn("_parts", parts)
     step = lambda s, p: F.struct((s["at"] + F.length(p["head"]) + F.length(p["body"]) + len(OVER)).cast("long").alias("at"), F.when(p["learn"], F.concat(s["spans"], F.array(F.struct((s["at"] + F.length(p["head"])).cast("long").alias("start"), F.length(p["body"]).cast("long").alias("length"))))).otherwise(s["spans"]).alias("spans"))
@@ -130,7 +167,7 @@ def format_chats(records: DataFrame, id_col: str, record_col: str, layouts: tupl
     return read.select(
         "conv_id", "layout", "turns",
         F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(OVER))), "").alias("formatted"),
-        F.aggregate("_parts", empty, step, lambda s: s["spans"]).alias("loss_spans"),
+        F.aggregate("_parts", empty, step, lambda s: s["spans"]).alias("loss_spans"), "problem",
     )
 
 

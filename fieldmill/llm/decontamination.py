@@ -146,10 +146,14 @@ class ItemIndex:
                     yield i, item, score[item], passage
 
     def shares(self, item: int, passage: np.ndarray, size: int = 5) -> tuple[float, float]:
-        """Shares of the question's and the answer's word n-grams that the passage holds; 1 for an empty part."""
+        """Shares of the question's and the answer's word n-grams that the passage holds; 1 for an empty part.
+
+        A part of less than four times `size` words has shorter n-grams, down to single words, so that one changed word of a short
+        answer leaves most of them.
+        """
         out = []
         for part in self.parts[item]:
-            n = min(size, len(part))
+            n = max(1, min(size, len(part) // 4)) if len(part) else 0
             out.append(float(np.isin(ngrams(part, n), ngrams(passage, n)).mean()) if n else 1.0)
         return out[0], out[1]
 
@@ -170,8 +174,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.6, question:
 
     One row per document and item, with the best passage's figures. Items are indexed in slices of about
     items_per_index, so what is sent to executors stays bounded; each slice is one pass over the documents.
-    Items without a word and null texts match nothing. Items that repeat a text are each reported.
-    Empty tables give no rows. Other columns are ignored.
+    Items without a word and null texts match nothing. Items that repeat a text are each reported, rows that repeat an id together. Texts are
+    searched whole, passage by passage, however long. Empty tables give no rows. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     hits = spark.createDataFrame([], HIT_TYPE)

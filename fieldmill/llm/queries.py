@@ -52,7 +52,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))
     said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     listed = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(said)).alias("m"))
-    record = F.to_json(F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")))
+    record = F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
     done = chat.format_chats(listed.select("conv_id", record.alias("record")), "conv_id", "record", roles={})
     turns, learned = chat.read_back(F.col("formatted")), chat.under_mask(F.col("formatted"), F.col("loss_spans"))
     back = done.select("conv_id", "formatted", turns.alias("turns"), F.array_join(learned, "").alias("learned"))

@@ -37,6 +37,8 @@ WIDTH = 80
 _CODES = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.int64(2**63 - 1)
+#: Bytes of a whole copy's note: its id and the beginning of its text's hash.
+NOTE = 24
 #: Bits of an anchor's hash that are compared; others only send a few strings to be compared in vain.
 _KEPT = np.uint64(2**48 - 1)
 
@@ -139,9 +141,8 @@ def _records(table: pa.Table, notes: dict[str, list], buckets: int) -> Iterator[
     """Of one batch, for each bucket: its distinct records in suffix order with their least document, and for every
     occurrence its record, document row and position. The same rows give the same numbers each time."""
     shared = np.unique(np.concatenate([_unpacked(d) for _, d in notes["anchors"]])) if notes["anchors"] else np.zeros(0, np.uint64)
-    skip = _ids(notes["copies"])
     ids = table.column("doc_id").to_numpy()
-    use = ~np.isin(ids, skip)
+    use = ~_copied(table, notes["copies"])
     found = []
     for first, _, data, offsets in text_pieces(table.column("text")):
         at, h = anchors(data, offsets)
@@ -181,8 +182,15 @@ def _by_kind(notes: pa.Table) -> dict[str, list]:
     return out
 
 
-def _ids(notes: list) -> np.ndarray:
-    return np.frombuffer(b"".join(d for _, d in notes), ">i8").astype(np.int64)
+def _copied(table: pa.Table, notes: list) -> np.ndarray:
+    """Which rows are noted as whole copies. A note is an id and a hash of the text, as rows of unlike texts may share an id."""
+    raw = b"".join(d for _, d in notes)
+    known = {raw[i : i + NOTE] for i in range(0, len(raw), NOTE)}
+    ids = table.column("doc_id").to_numpy()
+    out = np.isin(ids, np.frombuffer(raw, [("id", ">i8"), ("hash", "V16")])["id"].astype(np.int64))
+    for i in np.flatnonzero(out):
+        out[i] = int(ids[i]).to_bytes(8, "big", signed=True) + hashlib.sha256(table.column("text")[int(i)].as_buffer()).digest()[: NOTE - 8] in known
+    return out
 
 
 def _in_order(table: pa.Table) -> pa.Table:
@@ -290,7 +298,7 @@ def _cleaned(buckets: int, with_bytes: bool):
             doc, start = np.concatenate(doc_of), np.concatenate(start_of)
             order = np.argsort(doc, kind="stable")
             doc, start = doc[order], start[order]
-            skip = set(_ids(by_kind["copies"]).tolist())
+            copied = _copied(table, by_kind["copies"])
             for first, end, data, offsets in text_pieces(table.column("text")):
                 for i in range(first, end):
                     text = data[offsets[i - first] : offsets[i - first + 1]]
@@ -299,7 +307,7 @@ def _cleaned(buckets: int, with_bytes: bool):
                     np.add.at(gone, start[a:b], 1)
                     np.add.at(gone, start[a:b] + LENGTH, -1)
                     gone = np.cumsum(gone)[:-1] > 0
-                    if len(text) >= LENGTH and int(ids[i]) in skip:
+                    if copied[i]:
                         gone[:] = True
                     kept = text[~gone].tobytes()
                     out[0].append(None if ids[i] == _LAST else int(ids[i]))
@@ -319,8 +327,8 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False, batch_bytes: int =
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, the
     kept bytes. Null texts are empty. Strings of one document, or of rows that repeat an id, don't count
-    against each other. A row without an id comes after all others. Other columns are ignored; an empty
-    table gives no rows.
+    against each other; each row is judged by its own text. A row without an id comes after all others. Texts are taken whole,
+    however long. Other columns are ignored; an empty table gives no rows.
     """
     given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = given.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -331,8 +339,9 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False, batch_bytes: int =
     # a text that a smaller document has whole is gone as a whole and is looked at no further
     alike = given.where(F.octet_length("text") >= LENGTH).select("doc_id", F.sha2("text", 256).alias("sha"))
     firsts = alike.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sha", "first")
-    copies = alike.join(firsts, "sha").where("doc_id > first").select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), "doc_id").distinct()
-    copies = staged(copies.select("batch", F.lit("copies").alias("kind"), F.lit(0).alias("bucket"), F.unhex(F.lpad(F.hex("doc_id"), 16, "0")).alias("data")), "copies")
+    copies = alike.join(firsts, "sha").where("doc_id > first").select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), "doc_id", "sha").distinct()
+    note = F.unhex(F.concat(F.lpad(F.hex("doc_id"), 16, "0"), F.substring("sha", 1, 2 * (NOTE - 8))))
+    copies = staged(copies.select("batch", F.lit("copies").alias("kind"), F.lit(0).alias("bucket"), note.alias("data")), "copies")
 
     seen = homed.select("batch", "text").mapInArrow(_anchor_rows(buckets), "bucket int, batch int, kind int, hashes binary")
     shared = staged(seen.groupBy("bucket").applyInPandas(_shared_anchors, NOTE_TYPE), "anchors")
