@@ -165,6 +165,26 @@ def test_line_dedup_in_large_groups(spark):
     assert sum(got[i]["n_removed"] for i in range(70, 140)) == 69
 
 
+@pytest.mark.parametrize("words,shared,many", [(24, 10, 150), (40, 30, 150), (14, 6, 1200)])
+def test_line_dedup_recall_around_boilerplate(spark, words, shared, many):
+    """Pairs with one word changed, all around a passage whose words sort last: nine of ten go at least, and unlike lines stay."""
+    rng = random.Random(words)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    passage = ["z" + word() for _ in range(shared)]
+    said = []
+    for _ in range(many):
+        own = [word() for _ in range(words - shared)]
+        other = list(own)
+        other[rng.randrange(len(own))] = word()
+        cut = rng.randrange(len(own))
+        said += [" ".join(own[:cut] + passage + own[cut:]), " ".join(other[:cut] + passage + other[cut:])]
+    alike_by_passage = words * 0.8 <= shared + 1  # mostly passage: lines of unlike pairs may be alike too
+    got = by_id(lines.dedup_lines(spark.createDataFrame([(i, t, "x", 3) for i, t in enumerate(said)], "doc_id long, text string, _own string, _gone int")))
+    gone = [got[2 * i + 1]["n_removed"] for i in range(many)]
+    assert sum(gone) >= 0.9 * many, sum(gone)
+    assert alike_by_passage or sum(got[2 * i]["n_removed"] for i in range(many)) == 0
+
+
 def test_line_dedup_of_few_long_words(spark):
     said = ["本网站使用缓存以改善您的体验", "ok", "Impressum Datenschutz", "yes no", "--- --- --- ---", "12 34 56 78 90"]
     got = by_id(lines.dedup_lines(spark.createDataFrame([(i, "\n".join(said)) for i in range(2)], "doc_id long, text string")))
