@@ -9,7 +9,7 @@ from ..storage import snapshot
 from . import fixtures as fx
 from . import oracles as o
 from .adapt_queries import _KEYS, _MODEL, _PATHS, _basis, _model
-from .fit_queries import _BACK, _GRADED
+from .fit_queries import _BACK, _GRADED, _SHARED
 from .inspect_queries import predicted
 from .surface_queries import _values
 from .tree_queries import _VOLUME, AXES, _volume
@@ -37,7 +37,7 @@ def _both(spark, sf):
     return v.join(ahead, AXES, "left").withColumn("predicted", F.coalesce("predicted", "target"))
 
 
-def material_metrics(spark, sf):
+def material_volume_metrics(spark, sf):
     return volumes.material_metrics(_both(spark, sf), "target", "predicted", THRESHOLD).select("n", F.round("psnr", 6).alias("psnr"), F.round("mae", 9).alias("mae"))
 
 
@@ -65,7 +65,7 @@ def hybrid_score(spark, sf):
     return made.select(*AXES, *(F.round(c, 5).alias(c) for c in ("gradient", "sigma", "residual", "score")))
 
 
-QUERIES = {f.__name__: f for f in (gated_elevation, material_metrics, boundary_metrics, masked_projection_metrics, pooled_volume, hybrid_score)}
+QUERIES = {f.__name__: f for f in (gated_elevation, material_volume_metrics, boundary_metrics, masked_projection_metrics, pooled_volume, hybrid_score)}
 
 _BOTH = f"{_VOLUME}, two AS (SELECT a.gx, a.gy, a.gz, a.v AS t, coalesce(b.v, a.v) AS p FROM vol a LEFT JOIN vol b ON b.gx = a.gx+1 AND b.gy = a.gy AND b.gz = a.gz)"
 _PSNR = "20*log10(greatest(max({t}), 1e-8))-10*log10(greatest(avg(pow({p}-{t}, 2)), 1e-20))"
@@ -134,9 +134,33 @@ _GATED = f"""WITH {o.PREDICTED}, {_PATHS}, {_MODEL}, {_values('lift', refine.lif
 
 ORACLES = {
     "gated_elevation": _GATED,
-    "material_metrics": f"{_BOTH} SELECT count(*) AS n, round({_PSNR.format(t='t', p='p')}, 6) AS psnr, round(avg(abs(p-t)), 9) AS mae FROM two WHERE t > {THRESHOLD}",
+    "material_volume_metrics": f"{_BOTH} SELECT count(*) AS n, round({_PSNR.format(t='t', p='p')}, 6) AS psnr, round(avg(abs(p-t)), 9) AS mae FROM two WHERE t > {THRESHOLD}",
     "boundary_metrics": _BOUNDARY,
     "masked_projection_metrics": _MASKED,
     "pooled_volume": _POOLED,
     "hybrid_score": _HYBRID,
 }
+
+
+# Leaves two levels coarser than a face neighbour are cut in eight; on three levels that leaves no other ones.
+_BALANCED = f"""WITH {_SHARED}, coarse AS (SELECT DISTINCT level, ix, iy, iz FROM faces WHERE own_level > level + 1),
+after AS (SELECT level, len(mu) AS n FROM leaves ANTI JOIN coarse USING (level, ix, iy, iz) UNION ALL SELECT level+1, len(mu) FROM leaves SEMI JOIN coarse USING (level, ix, iy, iz), range(8))
+SELECT level, count(*) AS leaves, sum(n)::BIGINT AS coefficients, true AS complete FROM after GROUP BY level"""
+
+
+def _adam(steps: int, rate: float = 0.01) -> str:
+    out = [f"""{o.LEAVES}, {o.COEFFS}, {o.RAYS.replace('FROM events', 'FROM events WHERE user_id%12 IN (1, 2)')}, {o.GEOMETRY}, {o.GAUSS}, {o.FACTS},
+tw AS (SELECT view_id, row, col, level, ix, iy, iz, k, sum(w) AS w FROM parts GROUP BY ALL), seen AS (SELECT view_id, row, col, count(*) AS n, sum(target) AS t FROM rays GROUP BY ALL),
+s0 AS (SELECT level, ix, iy, iz, unnest(range(len(logits))) AS k, unnest(logits) AS lg, 0.0::DOUBLE AS m, 0.0::DOUBLE AS s FROM logit_leaves)"""]
+    for i in range(1, steps + 1):
+        mu = "greatest(lg-3, 0)+ln(1+exp(-abs(lg-3)))"
+        out.append(f"""p{i} AS (SELECT view_id, row, col, sum(({mu})*w) AS p FROM tw JOIN s{i - 1} USING (level, ix, iy, iz, k) GROUP BY ALL),
+o{i} AS (SELECT view_id, row, col, n*coalesce(p, 0)-t AS off FROM seen LEFT JOIN p{i} USING (view_id, row, col)),
+g{i} AS (SELECT level, ix, iy, iz, k, sum(off*w)/(SELECT count(*) FROM rays) AS g FROM tw JOIN o{i} USING (view_id, row, col) GROUP BY ALL),
+e{i} AS (SELECT s.*, coalesce(g, 0)/(1+exp(-(lg-3))) AS g FROM s{i - 1} s LEFT JOIN g{i} USING (level, ix, iy, iz, k)),
+s{i} AS (SELECT level, ix, iy, iz, k, lg-{rate}*((0.9*m+0.1*g)/(1-pow(0.9, {i})))/(sqrt((0.999*s+0.001*g*g)/(1-pow(0.999, {i})))+1e-8) AS lg, 0.9*m+0.1*g AS m, 0.999*s+0.001*g*g AS s FROM e{i})""")
+    return f"WITH {', '.join(out)} SELECT level, ix, iy, iz, k AS coefficient, round(lg, 5) AS logit FROM s{steps}"
+
+
+#: SQL for two queries of other modules.
+ORACLES |= {"balance_2to1": _BALANCED, "adam_steps": _adam(2)}
