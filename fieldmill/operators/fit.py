@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sigmoid, softplus
-from ..storage import snapshot
+from ..storage import discard, snapshot
 from .lookup import KEY
 from .rays import RAY, ray_terms
 
@@ -58,7 +58,10 @@ def adam(rays: DataFrame, logits: DataFrame, shift: float, levels: Sequence[int]
         g = coefficient_gradient(rays, now, shift, levels, size, views).select(*KEY, "coefficient", "gradient")
         m, s = b1 * F.col("m") + (1 - b1) * F.col("gradient"), b2 * F.col("s") + (1 - b2) * F.col("gradient") * F.col("gradient")
         step = rate * (m / (1 - b1**t)) / (F.sqrt(s / (1 - b2**t)) + eps)
-        state = snapshot(state.join(g, [*KEY, "coefficient"]).select(*KEY, "coefficient", (F.col("logit") - step).alias("logit"), m.alias("m"), s.alias("s")), "adam")
+        later = snapshot(state.join(g, [*KEY, "coefficient"]).select(*KEY, "coefficient", (F.col("logit") - step).alias("logit"), m.alias("m"), s.alias("s")), "adam")
+        if t > 1:
+            discard(state)
+        state = later
     return state.select(*KEY, "coefficient", "logit")
 
 

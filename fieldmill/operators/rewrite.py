@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import binomial
-from ..storage import snapshot
+from ..storage import discard, snapshot
 from .lookup import KEY, evaluate
 from .tree import face_neighbours
 
@@ -133,10 +133,13 @@ def balance(leaves: DataFrame, levels: Sequence[int], rounds: int = 8) -> tuple[
 
     Each round is a new snapshot, so a lost executor costs at most a round.
     """
+    given = leaves
     for _ in range(rounds):
         pairs = face_neighbours(leaves, levels)
         coarse = snapshot(pairs.where(F.col("own_level") > F.col("level") + 1).select(*KEY).distinct(), "coarse")
         if not coarse.limit(1).count():
             return leaves, True
-        leaves = snapshot(split(leaves, coarse), "leaves")
+        later = snapshot(split(leaves, coarse), "leaves")
+        discard(coarse, *([] if leaves is given else [leaves]))
+        leaves = later
     return leaves, False

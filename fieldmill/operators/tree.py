@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lookup import KEY, resolution
@@ -48,40 +48,47 @@ def sibling_groups(leaves: DataFrame) -> DataFrame:
     return leaves.where("level > 0").groupBy((F.col("level") - 1).alias("level"), *half).agg(F.count("*").alias("children")).where("children = 8").drop("children")
 
 
+def _face_mean(axis: int, side: int) -> Column:
+    """Mean coefficient on one face of a leaf, within the row."""
+    a = "xyz"[axis]
+    stride = {"x": "(py + 1) * (pz + 1)", "y": "(pz + 1)", "z": "1"}[a]
+    on = f"filter(sequence(0, size(coeffs) - 1), k -> (k div ({stride})) % (p{a} + 1) = {'0' if side == 0 else f'p{a}'})"
+    return F.expr(f"aggregate({on}, 0D, (s, k) -> s + coeffs[k]) / size({on})")
+
+
+def _mean_on(face: Column) -> Column:
+    """Mean coefficient on the face of that number: axis * 2 + side."""
+    out = None
+    for k in range(6):
+        mean = _face_mean(k // 2, k % 2)
+        out = F.when(face == k, mean) if out is None else out.when(face == k, mean)
+    return out
+
+
 def face_neighbours(leaves: DataFrame, levels: Sequence[int]) -> DataFrame:
-    """Leaf faces with the leaf on the other side: key, axis (0-2), side (0 low, 1 high), neighbour key.
+    """Leaf faces with the leaf on the other side: key, axis (0-2), side (0 low, 1 high), the face's mean as own_mean, neighbour key, degrees and coefficients.
 
     A probe a little beyond the middle of each face is located; faces on the box have no neighbour.
     """
     from .lookup import locate
 
     res = resolution(F.col("level"), levels)
-    probes = leaves.select(*KEY, *(F.col(f"p{a}") for a in "xyz"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("face")).withColumns({"axis": F.expr("cast(face div 2 as bigint)"), "side": F.expr("cast(face % 2 as bigint)")})
+    probes = leaves.select(*KEY, *(F.col(f"p{a}") for a in "xyz"), "coeffs", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("face")).withColumns({"axis": F.expr("cast(face div 2 as bigint)"), "side": F.expr("cast(face % 2 as bigint)"), "own_mean": _mean_on(F.col("face"))})
     sign = F.when(F.col("side") == 1, 1.0).otherwise(-1.0)
     for k, a in enumerate("xyz"):
         middle = -1.0 + (F.col(f"i{a}") + 0.5) * (2.0 / res)
         probes = probes.withColumn(a, F.when(F.col("axis") == k, middle + sign * (1.0 / res + 1e-5)).otherwise(middle))
-    own = probes.select(*(F.col(c).alias(f"own_{c}") for c in KEY), *(F.col(f"p{a}").alias(f"own_p{a}") for a in "xyz"), "axis", "side", "x", "y", "z")
+    own = probes.select(*(F.col(c).alias(f"own_{c}") for c in KEY), *(F.col(f"p{a}").alias(f"own_p{a}") for a in "xyz"), "own_mean", "axis", "side", "x", "y", "z")
     return locate(own, leaves.select(*KEY, "coeffs", "px", "py", "pz"), levels)
 
 
-def face_means(leaves: DataFrame) -> DataFrame:
-    """Mean coefficient on each face: key, axis, side, mean."""
-    rows = leaves.select(*KEY, "px", "py", "pz", F.posexplode("coeffs").alias("k", "c")).withColumn("k", F.col("k").cast("long"))
-    index = {"x": "k div ((pz + 1) * (py + 1))", "y": "(k div (pz + 1)) % (py + 1)", "z": "k % (pz + 1)"}
-    faces = []
-    for axis, a in enumerate("xyz"):
-        faces += [F.struct(F.lit(axis).cast("long").alias("axis"), F.lit(side).cast("long").alias("side"), (F.expr(index[a]) == (F.lit(0) if side == 0 else F.col(f"p{a}"))).alias("on")) for side in (0, 1)]
-    return rows.select(*KEY, "c", F.inline(F.array(*faces))).where("on").groupBy(*KEY, "axis", "side").agg(F.avg("c").alias("mean"))
-
-
 def interface_jumps(leaves: DataFrame, levels: Sequence[int]) -> DataFrame:
-    """Largest jump of face means across the two faces of each axis: key, axis, jump (0 without neighbours)."""
-    means = face_means(leaves)
-    pairs = face_neighbours(leaves, levels)
-    own = means.select(*(F.col(c).alias(f"own_{c}") for c in KEY), "axis", "side", F.col("mean").alias("own_mean"))
-    other = means.select(*KEY, "axis", (1 - F.col("side")).alias("side"), "mean")
-    met = pairs.select(*(f"own_{c}" for c in KEY), "axis", "side", *KEY).join(own, [*(f"own_{c}" for c in KEY), "axis", "side"]).join(other, [*KEY, "axis", "side"])
-    jumps = met.groupBy(*(F.col(f"own_{c}").alias(c) for c in KEY), "axis").agg(F.max(F.abs(F.col("own_mean") - F.col("mean"))).alias("jump"))
+    """Largest jump of face means across the two faces of each axis: key, axis, jump (0 without neighbours).
+
+    A face's own mean goes along with its probe and its neighbour's is taken from the block that the probe meets, so that the one join is that of the probes.
+    """
+    met = face_neighbours(leaves, levels)
+    other = _mean_on((F.col("axis") * 2 + 1 - F.col("side")).cast("int"))
+    jumps = met.groupBy(*(F.col(f"own_{c}").alias(c) for c in KEY), "axis").agg(F.max(F.abs(F.col("own_mean") - other)).alias("jump"))
     all_axes = leaves.select(*KEY, F.explode(F.array(*(F.lit(k).cast("long") for k in range(3)))).alias("axis"))
     return all_axes.join(jumps, [*KEY, "axis"], "left").withColumn("jump", F.coalesce("jump", F.lit(0.0)))

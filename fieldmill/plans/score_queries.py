@@ -95,8 +95,9 @@ def face_jump(spark, sf):
 
 def jump_rates(spark, sf):
     """Volume-scaled face jump of each leaf that can be split, per byte a split adds."""
-    jumps = tree.interface_jumps(fx.leaves(spark, sf), L).groupBy(*KEY).agg(F.max("jump").alias("jump"))
-    sized = fx.leaves(spark, sf).where("level < 2").select(*KEY, F.size("coeffs").alias("count"))
+    leaves = snapshot(fx.leaves(spark, sf), "leaves")
+    jumps = tree.interface_jumps(leaves, L).groupBy(*KEY).agg(F.max("jump").alias("jump"))
+    sized = leaves.where("level < 2").select(*KEY, F.size("coeffs").alias("count"))
     cell = 2.0 / lookup.resolution(F.col("level"), L)
     cost = (85 + 14 * F.col("count")).cast("long")
     return jumps.join(sized, KEY).select(*KEY, cost.alias("bytes"), (F.col("jump") * cell * cell * cell / cost).alias("rate")).where("rate > 0").transform(lambda df: snapshot(df, "rates"))
