@@ -38,6 +38,8 @@ GAPS = tuple((a, b, c) for a in range(3) for b in range(3) for c in range(3) if
 DECAY = 0.75
 REACH = 3 + max(sum(g) for g in GAPS)
 UNIT = 24
+#: Letters that are scored at a time.
+PIECE = 1 << 18
 _SKIP = 255
 
 
@@ -111,7 +113,9 @@ class ToxicModel:
     shift: float = 0.0
 
     def at_positions(self, symbol: np.ndarray) -> np.ndarray:
-        """What the subsequences that begin at each position add up to."""
+        """What the subsequences that begin at each position add up to; long texts go piece by piece, each with what its last ones reach."""
+        if len(symbol) > 2 * PIECE:
+            return np.concatenate([self.at_positions(symbol[a : a + PIECE + REACH])[:PIECE] for a in range(0, len(symbol), PIECE)])
         n, total = max(0, len(symbol) - REACH), np.zeros(len(symbol), np.float32)
         code = symbol.astype(np.intp)
         low = [code[: len(code) - k - 1] * SYMBOLS + code[k + 1 :] for k in range(3)]  # pairs of letters, k skipped between
@@ -216,11 +220,22 @@ def _joined(documents: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
 
 
+def _letters_of(documents: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of all documents as letters() gives them, some documents at a time."""
+    symbols, begins, total = [], [], 0
+    for a in range(0, len(documents), 50):
+        symbol, begin = letters(*_joined(documents[a : a + 50]))
+        symbols.append(symbol)
+        begins.append(begin[:-1] + total)
+        total += len(symbol)
+    return np.concatenate([np.zeros(0, np.uint8), *symbols]), np.concatenate([*begins, [total]]).astype(np.int64)
+
+
 class _Sentences:
     """All sentences of some documents, and those of the highest scores."""
 
     def __init__(self, documents: list[str], drawn: int, seed: int):
-        self.symbol, self.begins = letters(*_joined(documents))
+        self.symbol, self.begins = _letters_of(documents)
         self.starts = units(self.symbol, self.begins)
         self.text = np.searchsorted(self.begins, self.starts, "right") - 1
         self.ends = np.append(self.starts[1:], len(self.symbol))
@@ -238,8 +253,8 @@ class _Sentences:
     def kernel(self, chosen: np.ndarray, column: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """Kernel values of chosen sentences with all landmarks; a row of `marks` per landmark."""
         out, by_id = np.zeros((len(chosen), len(marks)), np.float32), np.ascontiguousarray(marks.T)
-        for a in range(0, len(chosen), 500):
-            some = chosen[a : a + 500]
+        for a in range(0, len(chosen), 100):
+            some = chosen[a : a + 100]
             size = self.ends[some] - self.starts[some]
             row = np.repeat(np.arange(len(some)), size)
             place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.starts[some], size)
