@@ -16,7 +16,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import to_logit
 from ..storage import discard, snapshot
 from . import rewrite
 from .lookup import KEY, resolution

@@ -10,7 +10,6 @@ from ..operators import decode, encode, lookup, tree
 from ..sources import archives
 from ..storage import shared_folder, snapshot
 from . import fixtures as fx
-from . import oracles as o
 from .tree_queries import _PACKED
 
 L, KEY = fx.LEVELS, lookup.KEY
