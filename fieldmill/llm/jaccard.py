@@ -326,7 +326,6 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, per_bucket: in
     again = verified(slim, moved, size)
     linked = _linked(answers.unionByName(again), sized, percent)
     settled = connected(linked)
-    linked, settled = _drawn_rounds(slim, lists, sized, linked, settled, size, percent)
     answers_now = answers.join(again.select("b"), "b", "left_anti").unionByName(again)
 
     # pairs of unlike groups that some list holds
@@ -352,35 +351,6 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, per_bucket: in
     return out
 
 
-def _drawn_rounds(slim: DataFrame, lists: DataFrame, sized: DataFrame, linked: DataFrame, settled: DataFrame, size: int, percent: int, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(links, groups) after some rounds in which each set of a list with several groups is held against one set of another.
-
-    A draw over all sets, another one in each round, says which set of a list the others meet; a set tries the one that most of its lists name. So a
-    round makes a pair for each set at most, and sets that belong to a group without being like its chief find a way into it before all
-    pairs that are left open are looked at. Rounds end when one finds no link.
-    """
-    for turn in range(rounds):
-        told = lists.join(settled.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", F.coalesce("component", "doc").alias("component"))
-        first = F.min(F.struct(F.xxhash64("doc", F.lit(turn)).alias("draw"), "doc", "component")).alias("top")
-        tops = told.groupBy("token").agg(first, F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", F.col("top.doc").alias("lead"), F.col("top.component").alias("other"))
-        met = told.join(tops, "token").where("component <> other").groupBy("doc", "lead").agg(F.count("*").alias("times"))
-        best = met.groupBy("doc").agg(F.max(F.struct("times", "lead")).alias("x"))
-        tried = staged(best.select(F.col("x.lead").alias("a"), F.col("doc").alias("b"), F.lit(False).alias("hub")), "tried")
-        found = verified(slim, tried, size)
-        more = _linked(found, sized, percent)
-        drop_staged(tried)
-        drop_staged(found)
-        if not more.head(1):
-            drop_staged(more)
-            break
-        all_links = staged(linked.union(more), "links")
-        groups = connected(all_links)
-        for table in (linked, settled, more):
-            drop_staged(table)
-        linked, settled = all_links, groups
-    return linked, settled
-
-
 def _linked(answers: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     with_sizes = answers.join(sized.select(F.col("id").alias("a"), F.col("size").alias("na")), "a").join(sized.select(F.col("id").alias("b"), F.col("size").alias("nb")), "b")
     return staged(with_sizes.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"), "links")
