@@ -185,6 +185,30 @@ def test_line_dedup_recall_around_boilerplate(spark, words, shared, many):
     assert alike_by_passage or sum(got[2 * i]["n_removed"] for i in range(many)) == 0
 
 
+def test_line_dedup_of_lines_whose_runs_all_are_common(spark):
+    """Lines of two passages each, every one of them in thirty lines or more: those whose first passage is another's but for three words go, all of them, and no others."""
+    rng = random.Random(53)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    first, second = ([[word() for _ in range(12)] for _ in range(30)] for _ in range(2))
+    first += [[*p[:9], word(), word(), word()] for p in first[:5]]
+    said = [" ".join(p + q) for p in first for q in second]
+    got = by_id(lines.dedup_lines(spark.createDataFrame([(i, t) for i, t in enumerate(said)], "doc_id long, text string")))
+    assert [got[i]["n_removed"] for i in range(len(said))] == [0] * 900 + [1] * 150
+
+
+def test_line_dedup_of_repeated_words(spark):
+    """Long lines go whose repeated words stay and whose others change, also where they share but one run."""
+    rng = random.Random(59)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    common = ["zw", "zx", "zy", "zz"] * 12
+    said = []
+    for _ in range(12):
+        said += [" ".join(common + [x for _ in range(18) for x in (word(), "zw", "zx")]) for _ in range(2)]
+    one_run = [" ".join([word() for _ in range(3)] + ["zz", "zx"] * 80) for _ in range(2)]
+    got = by_id(lines.dedup_lines(spark.createDataFrame([(i, t) for i, t in enumerate(said + one_run)], "doc_id long, text string")))
+    assert [got[i]["n_removed"] for i in range(26)] == [0] + [1] * 23 + [0, 1]
+
+
 def test_line_dedup_of_few_long_words(spark):
     said = ["本网站使用缓存以改善您的体验", "ok", "Impressum Datenschutz", "yes no", "--- --- --- ---", "12 34 56 78 90"]
     got = by_id(lines.dedup_lines(spark.createDataFrame([(i, "\n".join(said)) for i in range(2)], "doc_id long, text string")))
