@@ -1,5 +1,7 @@
 """The pipeline's stages on the smallest tables: columns, and what each decides."""
 
+import random
+
 import corpus_pipeline
 from fieldmill.llm import common, jaccard
 
@@ -19,6 +21,18 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == counts[-1]
 
 
+def test_line_stage_drops_all_near_copies(spark):
+    """Documents of one line go whose line is another's but for three words, though all of its runs are in thirty lines or more."""
+    rng = random.Random(61)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    first, second = ([[word() for _ in range(12)] for _ in range(30)] for _ in range(2))
+    first += [[*p[:9], word(), word(), word()] for p in first[:3]]
+    said = [" ".join(p + q) for p in first for q in second]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(said)], "doc_id long, text string, n_chars long")
+    kept = corpus_pipeline.drop_repeated_lines(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(900))
+
+
 def test_numbers_and_groups(spark):
     df = spark.range(1000).selectExpr("id % 3 as g", "id as k")
     got = common.numbered(df, ["g"], ["k"], "slot", 1000, per_part=50).collect()
