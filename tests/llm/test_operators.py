@@ -209,6 +209,23 @@ def test_line_dedup_of_repeated_words(spark):
     assert [got[i]["n_removed"] for i in range(26)] == [0] + [1] * 23 + [0, 1]
 
 
+def test_line_dedup_of_long_lines_by_words_of_any_length(spark):
+    """Long lines with a tenth of their words changed go where the changed words are long, where a script sets no spaces, and where spaces repeat; alone and in a group of forty."""
+    rng = random.Random(67)
+    word = lambda k=5: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    passage = ["z" + word() for _ in range(24)]
+    said = []
+    for shared in [[], *[passage] * 20]:
+        w = shared + [word() for _ in range(60 - len(shared))]
+        said += [" ".join(w), " ".join(word(60) if i % 10 == 9 and i >= 24 or not shared and i % 10 == 9 else x for i, x in enumerate(w))]
+    signs = [chr(0x4E00 + rng.randrange(5000)) for _ in range(400)]
+    said += ["".join(signs), "".join(chr(0x4E00 + rng.randrange(5000)) if i % 20 == 0 else x for i, x in enumerate(signs))]
+    short = [word() for _ in range(12)]
+    said += [" ".join(short), (" " * 9).join([*short[:11], word()])]
+    got = by_id(lines.dedup_lines(spark.createDataFrame([(i, t) for i, t in enumerate(said)], "doc_id long, text string")))
+    assert [got[i]["n_removed"] for i in range(len(said))] == [0, 1] * (len(said) // 2)
+
+
 def test_line_dedup_of_few_long_words(spark):
     said = ["本网站使用缓存以改善您的体验", "ok", "Impressum Datenschutz", "yes no", "--- --- --- ---", "12 34 56 78 90"]
     got = by_id(lines.dedup_lines(spark.createDataFrame([(i, "\n".join(said)) for i in range(2)], "doc_id long, text string")))
