@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline
 from fieldmill.llm import common, jaccard
 
@@ -33,6 +35,19 @@ def test_line_stage_drops_all_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(900))
 
 
+def test_texts_go_to_workers_in_small_batches(spark):
+    """After a stage that runs Python, no batch that a worker gets has over a thousand rows."""
+    sf = "/root/testdata/sf0.001"
+    corpus_pipeline.drop_leaks(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    got = [r["n"] for r in spark.range(0, 3500, 1, 1).mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 3500 and max(got) <= 1000
+
+
 def test_numbers_and_groups(spark):
     df = spark.range(1000).selectExpr("id % 3 as g", "id as k")
     got = common.numbered(df, ["g"], ["k"], "slot", 1000, per_part=50).collect()
