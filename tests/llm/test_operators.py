@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -226,6 +227,35 @@ def test_line_dedup_of_long_lines_by_words_of_any_length(spark):
     assert [got[i]["n_removed"] for i in range(len(said))] == [0, 1] * (len(said) // 2)
 
 
+def test_line_dedup_leaves_no_shuffle_files(spark, docs):
+    """Every step's shuffle files are gone when it has ended, without a collection of garbage, and the session's setting is as before."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(name)
+    files = lambda: {f.getName() for f in conv.asJava(disk.getAllFiles()) if f.getName().startswith("shuffle_")}
+    disk, conv = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark._jvm.scala.jdk.javaapi.CollectionConverters
+    before = files()
+    lines.repeated_lines(docs.select("doc_id", "text"))
+    for _ in range(50):  # files go in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(name) == kept
+
+
+@pytest.mark.parametrize("most_sent", [0, 32_000_000])
+def test_line_texts_once_a_class(spark, most_sent):
+    """Lines found again in texts have the ids they were cut with, once each, also where rows repeat id and text."""
+    rng = random.Random(71)
+    word = lambda: "".join(rng.choice("abcdefghé") for _ in range(6))
+    said = [" ".join(word() for _ in range(n)) for n in (3, 12, 80)] + ["  Two\twords  HERE again ", "字" * 40, "字" * 400]
+    df = spark.createDataFrame([(1, "\n".join(said)), (2, "\n".join(said[::-1])), (2, "\n".join(said[::-1]))], "doc_id long, text string")
+    cut = lines.line_rows(df, 1)
+    got = {r["id"]: r for r in lines.line_texts(df, cut.where("doc_id = 2").select("doc_id", "row", "line").distinct(), 0.8, most_sent).collect()}
+    assert len(got) == len(said) and set(got) == {r["id"] for r in cut.collect()}
+    assert all((got[r["id"]]["spelt"] is None) == (r["n"] < lines.LONG) for r in cut.collect())
+    assert lines.line_texts(df, cut.select("doc_id", "row", "line"), 0.8, most_sent).count() == len(said)
+
+
 def test_line_dedup_of_few_long_words(spark):
     said = ["本网站使用缓存以改善您的体验", "ok", "Impressum Datenschutz", "yes no", "--- --- --- ---", "12 34 56 78 90"]
     got = by_id(lines.dedup_lines(spark.createDataFrame([(i, "\n".join(said)) for i in range(2)], "doc_id long, text string")))
