@@ -352,16 +352,34 @@ def _calibrated(model: ToxicModel, documents: list[tuple[str, int]], share: floa
     return ToxicModel(model.weights, (float(slopes[0]), float(slopes[1])), float(beta[2]))
 
 
-def training_documents(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, most_bytes: int = 20_000) -> tuple[list[tuple[str, int]], float]:
-    """Labelled documents outside the held-out fold, whole, at most so many of either label (those of lowest
+def training_documents(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, most_bytes: int = 20_000) -> tuple[DataFrame, float]:
+    """(toxic, doc_id, text) of labelled documents outside the held-out fold, whole, at most so many of either label (those of lowest
     hashed id, less any over most_bytes long), and the share of label 1 among all of that kind. The sample takes
     most_bytes * (most_toxic + most_clean) at most, whatever the size of the tables."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where((fold != 1) & F.col("toxic").isin(0, 1))
     share = marks.agg(F.avg("toxic")).first()[0]
     picked = [marks.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for v, most in ((1, most_toxic), (0, most_clean))]
-    rows = texts(docs).join(F.broadcast(picked[0].union(picked[1])), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).orderBy("toxic", "doc_id", "text").select("text", "toxic")
-    return [(r["text"] or "", r["toxic"]) for r in rows.collect()], share or 0.0
+    rows = texts(docs).join(F.broadcast(picked[0].union(picked[1])), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
+    return rows.select("toxic", "doc_id", "text"), share or 0.0
+
+
+def trained(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int) -> ToxicModel:
+    """The model that fit() gives for the training documents. They meet in one task, being bounded; of them only the weights come to the driver."""
+    rows, share = training_documents(docs, labels, most_toxic, most_clean)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit([(t or "", label) for batch in batches for t, label in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist())], share)
+        at = np.flatnonzero(model.weights)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (at.astype("<i4").tobytes(), model.weights[at].astype("<f4").tobytes(), *model.slopes, model.shift)], ["at", "weights", "first", "second", "shift"])
+
+    one = rows.repartition(1).sortWithinPartitions("toxic", "doc_id", "text").select("toxic", "text")
+    found = one.mapInArrow(run, "at binary, weights binary, first double, second double, shift double").collect()
+    if not found:  # no row, no task
+        return fit([], share)
+    weights = np.zeros(SYMBOLS**4, np.float32)
+    weights[np.frombuffer(found[0]["at"], "<i4")] = np.frombuffer(found[0]["weights"], "<f4")
+    return ToxicModel(weights, (found[0]["first"], found[0]["second"]), found[0]["shift"])
 
 
 def score_documents(docs: DataFrame, model: ToxicModel) -> DataFrame:
@@ -384,7 +402,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 800, most_cle
     score as empty ones, repeated rows alike. Texts of over a megabyte are read in runs of whole words. Other columns are
     ignored, whatever their names. An empty table gives no rows.
     """
-    model = fit(*training_documents(docs, labels, most_toxic, most_clean))
+    model = trained(docs, labels, most_toxic, most_clean)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
     scored = score_documents(docs, model)
     return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -392,7 +410,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 800, most_cle
 
 def without_toxic(docs: DataFrame, labels: DataFrame, most_toxic: int = 800, most_clean: int = 800, threshold: float = 0.7) -> DataFrame:
     """The documents that score below the threshold, with all their columns; trained as in `toxicity`."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(*training_documents(docs, labels, most_toxic, most_clean)))
+    shared = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, most_toxic, most_clean))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
