@@ -74,19 +74,31 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, h[at] & _KEPT
 
 
+def _planes(values: np.ndarray, kind: str) -> bytes:
+    """Whole numbers as byte planes apart, compressed."""
+    raw = values.astype(kind)
+    return zstandard.compress(np.ascontiguousarray(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T).tobytes(), 1)
+
+
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _packed(values: np.ndarray) -> bytes:
     """Ascending whole numbers as differences, byte planes apart, compressed."""
-    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return _planes(np.diff(values, prepend=np.uint64(0)), "<u8")
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_from_planes(raw, "<u8"), dtype=np.uint64)
 
 
 def _anchor_rows(buckets: int):
-    """Per (bucket, batch): the anchors' hashes, those of two documents first (kind 1), then all (kind 0)."""
+    """Per bucket and piece of the input: the anchors' hashes, ascending, with their batches; a hash that two documents of a batch hold comes twice.
+
+    A row is a bucket's, not a (bucket, batch)'s: both numbers grow with the input, and rows of one hash each would follow.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             home, hashes, docs = rows.column(0).to_numpy(), [], []
@@ -97,49 +109,46 @@ def _anchor_rows(buckets: int):
             if not hashes:
                 continue
             h, doc = np.concatenate(hashes), np.concatenate(docs)
-            order = np.lexsort((doc, h, home[doc], h % np.uint64(buckets)))
+            order = np.lexsort((doc, home[doc], h, h % np.uint64(buckets)))
             h, doc = h[order], doc[order]
-            batch, bucket = home[doc], (h % np.uint64(buckets)).astype(np.int64)
+            batch = home[doc]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (batch[1:] != batch[:-1])]) if len(h) else np.zeros(0, bool)
             other = np.concatenate([[False], ~new[1:] & (doc[1:] != doc[:-1])]) if len(h) else new
-            twice = np.zeros(len(h), bool)
-            twice[np.flatnonzero(new)[np.cumsum(new)[other] - 1]] = True
-            h, batch, bucket, twice = h[new], batch[new], bucket[new], twice[new]
-            cuts = np.flatnonzero(np.concatenate([[True], (batch[1:] != batch[:-1]) | (bucket[1:] != bucket[:-1])])) if len(h) else []
-            out = []
-            for a, b in zip(cuts, [*cuts[1:], len(h)]):
-                out.append((int(bucket[a]), int(batch[a]), 0, _packed(h[a:b])))
-                if twice[a:b].any():
-                    out.append((int(bucket[a]), int(batch[a]), 1, _packed(h[a:b][twice[a:b]])))
-            columns = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["bucket", "batch", "kind", "hashes"])
+            times = np.ones(int(new.sum()), np.int64)
+            times[np.cumsum(new)[other] - 1] = 2
+            h, batch = np.repeat(h[new], times), np.repeat(batch[new], times)
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(h) else []
+            out = [(int(bucket[a]), _packed(h[a:b]), _planes(batch[a:b], "<u4")) for a, b in zip(cuts, [*cuts[1:], len(h)])]
+            columns = list(zip(*out)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "hashes", "batches"])
 
     return run
 
 
 def _shared_anchors(frame: pd.DataFrame) -> pd.DataFrame:
     """Per batch: those of its anchors that two documents of the whole input hold."""
-    frame = frame.sort_values(["kind", "batch"], kind="stable")
-    lists = [_unpacked(b) for b in frame["hashes"]]
-    all_h = np.concatenate(lists)
-    values, times = np.unique(np.concatenate([all_h]), return_counts=True)
-    # one list per (batch, kind) row; rows of one batch and kind 0 may repeat a hash that other rows of the batch hold
-    shared = values[times > 1]
-    out = []
-    for batch, rows in frame[frame["kind"] == 0].groupby("batch"):
-        own = np.unique(np.concatenate([_unpacked(b) for b in rows["hashes"]]))
-        own = own[np.isin(own, shared, assume_unique=True)]
-        if len(own):
-            out.append((batch, "anchors", int(frame["bucket"].iloc[0]), _packed(own)))
+    h = np.concatenate([_unpacked(b) for b in frame["hashes"]])
+    batch = np.concatenate([_from_planes(b, "<u4") for b in frame["batches"]])
+    values, times = np.unique(h, return_counts=True)
+    held = np.isin(h, values[times > 1])
+    h, batch = h[held], batch[held]
+    order = np.lexsort((h, batch))
+    h, batch = h[order], batch[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (batch[1:] != batch[:-1])]) if len(h) else np.zeros(0, bool)
+    h, batch = h[new], batch[new]
+    cuts = np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]])) if len(h) else []
+    bucket = int(frame["bucket"].iloc[0])
+    out = [(int(batch[a]), "anchors", bucket, _packed(h[a:b])) for a, b in zip(cuts, [*cuts[1:], len(h)])]
     return pd.DataFrame(out, columns=["batch", "kind", "bucket", "data"])
 
 
 NOTE_TYPE = "batch int, kind string, bucket int, data binary"
 
 
-def _records(table: pa.Table, notes: dict[str, list], buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of one batch, for each bucket: its distinct records in suffix order with their least document, and for every
-    occurrence its record, document row and position. The same rows give the same numbers each time."""
+def _records(table: pa.Table, notes: dict[str, list], buckets: int) -> tuple[np.ndarray, ...] | None:
+    """Of one batch: the distinct records, bucket by bucket in suffix order, with their bucket and least document, and for every
+    occurrence its record, document row, position and id. The same rows give the same numbers each time."""
     shared = np.unique(np.concatenate([_unpacked(d) for _, d in notes["anchors"]])) if notes["anchors"] else np.zeros(0, np.uint64)
     ids = table.column("doc_id").to_numpy()
     use = ~_copied(table, notes["copies"])
@@ -161,18 +170,14 @@ def _records(table: pa.Table, notes: dict[str, list], buckets: int) -> Iterator[
         record[:, LENGTH + 2 : LENGTH + 2 + BEFORE] = np.where(np.arange(BEFORE) < left[:, None], data[np.maximum(where, 0)], 0)
         found.append((record, h % np.uint64(buckets), first + doc, at - offsets[doc]))
     if not found:
-        return
+        return None
     record, bucket, doc, at = (np.concatenate(x) for x in zip(*found))
     words = record.view(">u8").astype(np.uint64)
     order = np.lexsort((*words.T[::-1], bucket))
     words, bucket, doc, at, record = words[order], bucket[order], doc[order], at[order], record[order]
     new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (words[1:] != words[:-1]).any(1)])
     starts, which = np.flatnonzero(new), np.cumsum(new) - 1
-    least = np.minimum.reduceat(ids[doc], starts)
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[starts][1:] != bucket[starts][:-1]]))
-    for a, b in zip(cuts, [*cuts[1:], len(starts)]):
-        own = slice(starts[a], starts[b] if b < len(starts) else len(doc))
-        yield int(bucket[own.start]), record[starts[a:b]], least[a:b], which[own] - a, doc[own], at[own], ids[doc[own]]
+    return record[starts], bucket[starts].astype(np.int64), np.minimum.reduceat(ids[doc], starts), which, doc, at, ids[doc]
 
 
 def _by_kind(notes: pa.Table) -> dict[str, list]:
@@ -203,8 +208,11 @@ def _shard(buckets: int):
         rows = []
         if table.num_rows:
             batch = table.column("batch")[0].as_py()
-            for bucket, record, least, *_ in _records(_in_order(table), _by_kind(notes), buckets):
-                rows.append((bucket, batch, zstandard.compress(record.tobytes(), 3), least.astype("<i8").tobytes()))
+            if found := _records(_in_order(table), _by_kind(notes), buckets):
+                record, bucket, least, *_ = found
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
+                    rows.append((int(bucket[a]), batch, zstandard.compress(record[a:b].tobytes(), 3), least[a:b].astype("<i8").tobytes()))
         columns = list(zip(*rows)) if rows else [[]] * 4
         return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "batch", "records", "least"])
 
@@ -288,11 +296,15 @@ def _cleaned(buckets: int, with_bytes: bool):
             ids = table.column("doc_id").to_numpy()
             masks = {b: np.frombuffer(zstandard.decompress(d), "<i4") for b, d in by_kind["masks"]}
             doc_of, start_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for bucket, record, least, which, doc, at, own_id in _records(table, by_kind, buckets):
+            if found := _records(table, by_kind, buckets):
+                # all buckets at once: a step for each of them would take time for buckets times batches
+                record, bucket, least, which, doc, at, own_id = found
+                mask = np.concatenate([masks[b] for b in np.unique(bucket).tolist()])
                 right, left = record[:, LENGTH].astype(int), record[:, LENGTH + 1].astype(int)
+                later = own_id > least[which]
                 for j in range(BEFORE + 1):
                     whole = (left >= j) & (right >= LENGTH - j)
-                    gone = (masks[bucket] >> j & 1 == 1)[which] | (whole[which] & (own_id > least[which]))
+                    gone = (mask >> j & 1 == 1)[which] | (whole[which] & later)
                     doc_of.append(doc[gone])
                     start_of.append(at[gone] - j)
             doc, start = np.concatenate(doc_of), np.concatenate(start_of)
@@ -343,7 +355,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False, batch_bytes: int =
     note = F.unhex(F.concat(F.lpad(F.hex("doc_id"), 16, "0"), F.substring("sha", 1, 2 * (NOTE - 8))))
     copies = staged(copies.select("batch", F.lit("copies").alias("kind"), F.lit(0).alias("bucket"), note.alias("data")), "copies")
 
-    seen = homed.select("batch", "text").mapInArrow(_anchor_rows(buckets), "bucket int, batch int, kind int, hashes binary")
+    seen = homed.select("batch", "text").mapInArrow(_anchor_rows(buckets), "bucket int, hashes binary, batches binary")
     shared = staged(seen.groupBy("bucket").applyInPandas(_shared_anchors, NOTE_TYPE), "anchors")
     notes = copies.union(shared)
 

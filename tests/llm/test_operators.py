@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,26 @@ def test_suffix_dedup(docs, empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_suffix_anchors_take_a_row_a_bucket():
+    """Not one a bucket and batch, of which there are more than anchors in large inputs; what two documents hold is found all the same."""
+    rng = np.random.default_rng(8)
+    said = [rng.integers(97, 123, 400, np.uint8).tobytes().decode() for _ in range(60)]
+    said += [said[i][:200] + rng.integers(97, 123, 100, np.uint8).tobytes().decode() for i in range(0, 60, 3)] + said[:4]
+    home = np.arange(len(said), dtype=np.int32) % 50
+    piece = lambda a, b: pa.RecordBatch.from_arrays([pa.array(home[a:b]), pa.array(said[a:b])], ["batch", "text"])
+    rows = pa.Table.from_batches(list(suffixes._anchor_rows(7)(iter([piece(0, 50), piece(50, len(said))])))).to_pandas()
+    assert len(rows) == 2 * 7
+    held, want = {}, {}
+    for i, t in enumerate(said):
+        for h in set(suffixes.anchors(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[1].tolist()):
+            held.setdefault(h, []).append(int(home[i]))
+    for h, homes in held.items():
+        for b in set(homes) if len(homes) > 1 else ():
+            want.setdefault((b, h % 7), set()).add(h)
+    notes = [r for _, frame in rows.groupby("bucket") for r in suffixes._shared_anchors(frame).itertuples()]
+    assert {(r.batch, r.bucket): set(suffixes._unpacked(r.data).tolist()) for r in notes} == want and want
+
+
 def test_interleave_is_a_stable_merge():
     rng = np.random.default_rng(1)
     parts = [rng.integers(0, 3, (n, 4)).astype(np.uint64) for n in (40, 1, 25)]
